@@ -43,11 +43,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/millrace-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,3 +72,18 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """df.mapInArrow with the package's code at hand on every executor."""
     _ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def slices(batch, column: int, most_bytes: int = 4 << 20):
+    """The record batch in parts whose values in `column` take about most_bytes at most, but one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

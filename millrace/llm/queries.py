@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe_round_trip
 from .exact_dedup import ORACLE_OP8, op8_exact_dedup
+from .html_extract import op1_html_extraction
+from .packing import op10_packing
+from .sharding import op4_sharding
 from .simhash_dedup import op6_simhash_near_dedup
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op4_sharding": op4_sharding,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLES = {
