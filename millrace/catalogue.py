@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from .functions import scalars
+from .operators import aggregates, filters, joins, sorts, windows
+from .plans.registry import registered
 from .plans.star import ORACLE_STAR, join_star_shuffle
 
 QUERIES = {"join_star_shuffle": join_star_shuffle}
 ORACLES = {"join_star_shuffle": ORACLE_STAR}
+for _part in (filters, joins, aggregates, windows, sorts, scalars):
+    _queries, _oracles = registered(_part.QUERIES)
+    QUERIES |= _queries
+    ORACLES |= _oracles

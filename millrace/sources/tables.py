@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -9,12 +11,17 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+_NAMES = re.compile(r"\b(" + "|".join(TABLES) + r")\b")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sql(spark: SparkSession, sf_dir: str, query: str, names: tuple[str, ...] = TABLES, **frames: DataFrame) -> DataFrame:
-    """Runs a query whose table names stand in braces: {orders} is the table orders. `frames` adds or replaces names."""
-    used = {n: table(spark, sf_dir, n) for n in names if f"{{{n}}}" in query and n not in frames}
-    return spark.sql(query, **used, **{n: df for n, df in frames.items() if f"{{{n}}}" in query})
+def sql(spark: SparkSession, sf_dir: str, query: str, **frames: DataFrame) -> DataFrame:
+    """Runs a query over the base tables that it names, and over `frames` by their names."""
+    for name in set(_NAMES.findall(query)) - set(frames):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(query)
