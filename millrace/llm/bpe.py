@@ -16,19 +16,23 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, table
+from .kept import Kept, slice_ids
 
-#: Words kept at most, in each worker.
-WORDS = 800_000
-#: Characters up to this one are classed alike by every Unicode version; texts with others are cut by the library itself.
-PLAIN = "ɏ"
+#: Words, and as many pieces between spaces, kept in each generation in each worker.
+WORDS = 150_000
+#: Pairs of tokens kept.
+PAIRS = 1_000_000
 
 
 def byte_names() -> dict[str, int]:
@@ -50,8 +54,6 @@ class Codec:
         return cls._loaded[path]
 
     def __init__(self, path: str):
-        import regex
-
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         names = byte_names()
@@ -68,7 +70,10 @@ class Codec:
             self.bytes_of[i] = b
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
-        self.longest = max(map(len, self.id_of))
+        self.longest: dict[bytes, int] = {}  # by first three bytes
+        for b in self.id_of:
+            if len(b) > 2:
+                self.longest[b[:3]] = max(len(b), self.longest.get(b[:3], 0))
         self.left, self.right = np.full(size, -1), np.full(size, -1)
         self.rank = np.full(size, -1)
         self.made: dict[tuple[int, int], tuple[int, int]] = {}
@@ -89,10 +94,13 @@ class Codec:
         for z in ids[np.argsort(self.rank[ids])]:
             self.sound[z] &= self.sound[self.left[z]] and self.sound[self.right[z]]
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.odd = regex.compile(f"[^\x00-\x1b\x20-\x84\x86-{PLAIN}]")
+        self.words = Kept(WORDS, self._encode_words)
+        self.pieces = Kept(WORDS, lambda pieces: self.words.joined([self._cut_piece(p) for p in pieces]))
+        # The vocabulary's own pattern, for Latin-1 without its superscripts and fractions.
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+        self.odd = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
+        self.crowded = re.compile(r"\s\s|\A\s|\s\Z")
+        self.cut_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def _edge(self, child: np.ndarray) -> np.ndarray:
         """For each token the pieces that lie at one edge of it while it is merged, from the whole inwards; -1 beyond."""
@@ -132,9 +140,9 @@ class Codec:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, at, n, get = [], 0, len(word), self.id_of.get
+        out, at, n, get, longest = [], 0, len(word), self.id_of.get, self.longest.get
         while at < n:
-            end = min(n, at + self.longest)
+            end = min(n, at + longest(word[at : at + 3], 2))
             while (found := get(word[at:end])) is None:
                 end -= 1
             out.append(found)
@@ -143,6 +151,22 @@ class Codec:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest rank first, of equal ranks the leftmost."""
+        if len(word) <= 24:
+            piece = [self.id_of[word[i : i + 1]] for i in range(len(word))]
+            get, none = self.made.get, (1 << 40, 0)
+            found = [get(p, none) for p in zip(piece, piece[1:])]
+            while found:
+                best = min(found)
+                if best is none or best[0] == none[0]:
+                    break
+                i = found.index(best)
+                piece[i : i + 2] = [best[1]]
+                del found[i]
+                if i:
+                    found[i - 1] = get((piece[i - 1], piece[i]), none)
+                if i < len(found):
+                    found[i] = get((piece[i], piece[i + 1]), none)
+            return piece
         piece = [self.id_of[word[i : i + 1]] for i in range(len(word))]
         after = list(range(1, len(piece) + 1))
         before = list(range(-1, len(piece) - 1))
@@ -162,8 +186,8 @@ class Codec:
                     heapq.heappush(heap, (found[0], k))
         return [p for p in piece if p >= 0]
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes distinct words and keeps the results."""
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Of distinct words."""
         raw = [w.encode() for w in words]
         proposed = [self.propose(w) for w in raw]
         lengths = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
@@ -176,13 +200,17 @@ class Codec:
         distinct, back = np.unique(keys, return_inverse=True)
         new = np.array([k for k in distinct.tolist() if k not in self.pairs], dtype=np.int64)
         if len(new):
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
+                new = distinct
             self.pairs.update(zip(new.tolist(), self._crossed(new // self.size, new % self.size).tolist()))
-        crossed = np.array([self.pairs[k] for k in distinct.tolist()], dtype=bool)
         if len(keys):
+            crossed = np.array([self.pairs[k] for k in distinct.tolist()], dtype=bool)
             wrong[of[1:][inside][crossed[back]]] = True
-        for i, w in enumerate(words):
-            found = self.merge(raw[i]) if wrong[i] else proposed[i]
-            self.words[w] = np.array(found, dtype="<u4").tobytes()
+        return [array("I", self.merge(r) if x else p).tobytes() for r, x, p in zip(raw, wrong.tolist(), proposed)]
+
+    def _cut_piece(self, piece: str) -> list[str]:
+        return self.cut.findall(f" {piece}")
 
     def cut_words(self, text: str) -> list[str]:
         if self.odd.search(text):
@@ -196,28 +224,30 @@ class Codec:
             self._tokenizer = Tokenizer.from_file(self.path)
         return self._tokenizer
 
+    def _special_batch(self, text: str) -> bytes:
+        """A text with special tokens' strings in it."""
+        out, at = [], 0
+        for m in self.cut_special.finditer(text):
+            out += [*self.words.joined([self.cut_words(text[at : m.start()])]), array("I", [self.special[m[0]]]).tobytes()]
+            at = m.end()
+        return b"".join([*out, *self.words.joined([self.cut_words(text[at:])])])
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list] = []
-        for text in texts:
-            if self.cut_special is None or not self.cut_special.search(text):
-                cut.append(self.cut_words(text))
-                continue
-            parts, at = [], 0
-            for m in self.cut_special.finditer(text):
-                parts += [*self.cut_words(text[at : m.start()]), self.special[m[0]]]
-                at = m.end()
-            cut.append(parts + self.cut_words(text[at:]))
-        if len(self.words) > WORDS:
-            self.words.clear()
-        known = self.words
-        new = {w for words in cut for w in words if w not in known}
-        for i in self.special.values():
-            known[i] = np.array([i], dtype="<u4").tobytes()
-        new -= set(self.special.values())
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Where white space stands alone between words, a word begins at each space, so that a text is the sum of its pieces
+        between spaces. Other texts are cut into words as a whole.
+        """
+        special = [self.cut_special is not None and self.cut_special.search(t) is not None for t in texts]
+        plain = [not s and not self.odd.search(t) and not self.crowded.search(t) for t, s in zip(texts, special)]
+        at = [t.find(" ") if p else -1 for t, p in zip(texts, plain)]
+        heads = [[] if s else self.cut.findall(t[:i] if i >= 0 else t) if p else self.cut_words(t) for t, i, p, s in zip(texts, at, plain, special)]
+        rest = pa.array([t[i + 1 :] if i >= 0 else None for t, i in zip(texts, at)], pa.string())
+        out = [a + b for a, b in zip(self.words.joined(heads), slice_ids(*self.pieces.ids(pc.split_pattern(rest, " "))))]
+        for i, s in enumerate(special):
+            if s:
+                out[i] = self._special_batch(texts[i])
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
@@ -249,11 +279,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text): encode and decode in one pass of one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(path)
+        for batch in batches:
+            for part in slices(batch, 1):
+                ids = codec.encode_batch([t or "" for t in part.column(1).to_pylist()])
+                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.string())], names=["doc_id", "ids", "text"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary, text string")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    return decode(encode(table(spark, sf_dir, "documents"), path), path).select(
+    return round_trip(table(spark, sf_dir, "documents"), path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
