@@ -108,14 +108,14 @@ def matches(text: Column, query: str) -> Column:
     return (F.size(F.array_except(F.array(*[F.lit(t) for t in query_terms(query)]).cast("array<string>"), tokens(text))) == 0).cast("int")
 
 
-def rrf(vectors: DataFrame, query_vector: list[float], docs: DataFrame, query: str, k: int, vector_key: str = "vec_id", doc_key: str = "doc_id") -> DataFrame:
+def rrf(vectors: DataFrame, query_vector: list[float], docs: DataFrame, query: str, k: int, vector_key: str = "vec_id", doc_key: str = "doc_id", doc_column: str = "text") -> DataFrame:
     """(id, score): reciprocal rank fusion of a vector leg and a text leg, each to depth max(60, 3k). Each leg has at most that many rows when it is ranked."""
     from pyspark.sql.window import Window
 
     depth = max(60, 3 * k)
     one = Window.partitionBy(F.lit(1))
     near = knn(vectors, query_vector, depth, key=vector_key).select(F.col(vector_key).alias("id"), F.row_number().over(one.orderBy("distance", vector_key)).alias("r"))
-    text = bm25(docs, query, depth, doc_key).select(F.col(doc_key).alias("id"), F.row_number().over(one.orderBy(F.desc("score"), doc_key)).alias("r"))
+    text = bm25(docs, query, depth, doc_key, doc_column).select(F.col(doc_key).alias("id"), F.row_number().over(one.orderBy(F.desc("score"), doc_key)).alias("r"))
     legs = near.unionByName(text).groupBy("id").agg(F.sum(1.0 / (60 + F.col("r"))).alias("score"))
     return legs.orderBy(F.desc("score"), "id").limit(k)
 
@@ -132,7 +132,7 @@ def recall(store, name: str, query: str, k: int, embedding: list[float] | None =
     memory = store.table(name)
     if embedding is None:
         return bm25(memory, query, k, "id", "content")
-    return rrf(memory.filter("embedding IS NOT NULL").select("id", "embedding"), embedding, memory, query, k, "id", "id")
+    return rrf(memory.filter("embedding IS NOT NULL").select("id", "embedding"), embedding, memory, query, k, "id", "id", "content")
 
 
 def history(store, name: str, version: int) -> DataFrame:
