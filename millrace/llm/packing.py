@@ -14,10 +14,14 @@ packed like any other; repeated rows are packed once each; an empty table gives
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +29,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import map_arrow, slices, table, written
+from .kept import Kept, slice_ids
 
 LENGTH = 4096
 OPEN = 32
 LEAST_CUT = 16
 MERGED = 64
-#: Words kept at most, in each worker.
-WORDS = 800_000
+#: Words, and as many pieces between white space, kept in each generation in each worker.
+WORDS = 450_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
@@ -40,9 +45,11 @@ PIECES = T.StructType([
 
 
 class WordTokenizer:
-    """A tokenizers file of the kind that lower-cases, cuts at a pattern and drops white space, with results kept by word.
+    """A tokenizers file of the kind that lower-cases, cuts at a pattern and drops white space, with results kept.
 
-    Only texts up to Latin-1 without special tokens' strings go by words; all others go whole to the library.
+    The pattern never crosses white space, so a text is the sum of its pieces between white space, and a
+    piece the sum of its words; both repeat. Only texts up to Latin-1 without special tokens' strings go by pieces; all others go
+    whole to the library.
     """
 
     _loaded: dict[str, WordTokenizer] = {}
@@ -54,35 +61,32 @@ class WordTokenizer:
         return cls._loaded[path]
 
     def __init__(self, path: str):
-        import regex
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.odd = regex.compile("[^\x09-\x0d\x20-\x84\x86-\xff]")
-        self.words: dict[str, bytes] = {}
+        # The vocabulary's own pattern, for Latin-1 without its superscripts and fractions.
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+        self.odd = re.compile("[^\x09-\x0d\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
+        self.words = Kept(WORDS, self._encode_words)
+        self.pieces = Kept(WORDS, lambda pieces: self.words.joined([self.cut.findall(p) for p in pieces]))
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), 20_000):
+            for e in self.tokenizer.encode_batch(words[at : at + 20_000], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         plain = [not self.odd.search(t) and not any(s in t for s in self.special) for t in texts]
-        cut = [self.cut.findall(t.lower()) if p else () for t, p in zip(texts, plain)]
-        if len(self.words) > WORDS:
-            self.words.clear()
-        known = self.words
-        new = list({w for words in cut for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        out = []
-        for text, p, words in zip(texts, plain, cut):
-            if p:
-                out.append(b"".join(map(known.__getitem__, words)))
-            else:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        lower = pc.utf8_lower(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.string()))
+        out = slice_ids(*self.pieces.ids(pc.utf8_split_whitespace(lower)))
+        for i, p in enumerate(plain):
+            if not p:
+                out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
         return out
 
 
