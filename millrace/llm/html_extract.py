@@ -44,7 +44,7 @@ GONE = frozenset(
     "nav footer aside form script style head title template iframe noscript noframes noembed object embed svg canvas button select textarea dialog menu search "
     "input label audio video map datalist xmp".split()
 )
-TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr b i em strong a span u s q code small sub sup mark cite br figcaption caption".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption caption".split())
 CONTENT = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset(
@@ -159,8 +159,8 @@ def parse(html: str) -> Node:
 
 
 def _may_repeat(node: Node, in_content: bool) -> bool:
-    """Whether a subtree can be template: not the page's frame, not its article, not running text in an article."""
-    return not (node.tag in ("", "html", "body", "article", "main", "br") or in_content and node.tag in TEXT)
+    """Whether a subtree can be template: a block, but not the page's frame, its article, or running text in an article."""
+    return node.tag in BLOCKS and node.tag not in ("html", "body", "article", "main") and not (in_content and node.tag in TEXT)
 
 
 def subtrees(top: Node) -> set[int]:
