@@ -71,7 +71,9 @@ def from_png(media: bytes) -> bytes:
     width, height, depth = png_header(media[:33])
     at, data = 33, []
     while at < len(media):
-        n, kind = struct.unpack(">I4s", media[at : at + 8])
+        n, kind = struct.unpack(">I4s", media[at : at + 8]) if at + 12 <= len(media) else (len(media), b"")
+        if at + 12 + n > len(media):
+            raise ValueError("cut-off PNG chunk")
         if zlib.crc32(media[at + 4 : at + 8 + n]) != struct.unpack(">I", media[at + 8 + n : at + 12 + n])[0]:
             raise ValueError("damaged PNG chunk")
         if kind == b"IDAT":
