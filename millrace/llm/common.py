@@ -1,46 +1,15 @@
-"""What the operators of this subpackage share: tables, the shared folder, written intermediate tables."""
+"""What the operators of this subpackage share: tables, the shared folder, written intermediate tables, Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_own: list[str] = []
-_shipped: set[str] = set()
+from ..sources.shared import new_path, shared_dir, ship
+from ..sources.tables import table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset (tests, a single machine), a temporary folder of this
-    process is made once and removed at exit. On a cluster the setting must be
-    present, as executors do not see the driver's own folders.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="millrace-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(_own[0])
-    return f"file://{_own[0]}"
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/millrace-{what}-{uuid.uuid4().hex}"
+__all__ = ["map_arrow", "new_path", "shared_dir", "slices", "table", "written"]
 
 
 def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
@@ -51,26 +20,9 @@ def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _ship(spark: SparkSession) -> None:
-    """Sends this package's source to the executors' Python workers, once for each Spark application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="millrace-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/millrace_code.zip", "w") as z:
-        for d, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(f"{d}/{name}", os.path.relpath(f"{d}/{name}", os.path.dirname(top)))
-    sc.addPyFile(f"{folder}/millrace_code.zip")
-    _shipped.add(sc.applicationId)
-
-
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """df.mapInArrow with the package's code at hand on every executor."""
-    _ship(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -14,11 +14,12 @@ apart), while `dedup` keeps one of them; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Files
 from .common import new_path, table, written
 
 #: At most this many groups can have more than 1/HOT_SHARES of all rows, so a broadcast of them is bounded.
@@ -35,13 +36,25 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A persistent index of digests: runs of one bucketed, sorted table each, all with the same buckets."""
+    """A persistent index of digests below a folder: runs, each a Parquet table with the same buckets, sorted by digest.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+    Opening a folder that has runs registers them again, so that the index outlives the session that wrote it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs = [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{self.name}_run")] if name else []
+        self.folder = folder or new_path(spark, "digest_index")
+        self.files = Files(spark, self.folder)
+        self.name = "digest_index_" + hashlib.sha256(self.folder.encode()).hexdigest()[:16]
+        found = self.files.names("")
+        self.buckets = int(found[0].rpartition("_")[2]) if found else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs = []
+        for i, run in enumerate(found):
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {self.name}_{i} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'"
+            )
+            self.runs.append(f"{self.name}_{i}")
 
     def read(self) -> DataFrame | None:
         out = None
@@ -58,22 +71,23 @@ class DigestIndex:
 
     def append(self, groups: DataFrame) -> DataFrame:
         """Adds the groups that are new as one more run and returns that run."""
-        run = f"{self.name}_run{len(self.runs)}"
+        run = f"{self.name}_{len(self.runs)}"
         (
             self.fresh(groups)
             .repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest")
             .sortBy("digest")
-            .option("path", new_path(self.spark, run))
+            .option("path", f"{self.folder}/run_{len(self.runs):06d}_{self.buckets}")
             .saveAsTable(run)
         )
         self.runs.append(run)
         return self.spark.table(run)
 
-    def drop(self) -> None:
-        """Forgets the tables; files in the shared folder stay until that folder is cleared."""
+    def close(self) -> None:
+        """Takes the runs out of the session's catalog; the files stay."""
         for run in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self.runs = []
 
 
 def groups_of(digests: DataFrame) -> DataFrame:
