@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions import scalars
-from .operators import aggregates, filters, joins, recursive, search, sorts, stored, windows
+from .operators import aggregates, filters, joins, recursive, search, sessions, sorts, stored, windows
 from .plans.registry import registered
 from .plans.star import ORACLE_STAR, join_star_shuffle
 
@@ -21,6 +21,6 @@ for _part in (filters, joins, aggregates, windows, sorts, scalars):
     _queries, _oracles = registered(_part.QUERIES)
     QUERIES |= _queries
     ORACLES |= _oracles
-for _part in (search, stored):
+for _part in (search, stored, sessions):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -170,3 +170,16 @@ def test_windowed_counts_in_batch(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     out = windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
     assert out.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_unlisten(spark):
+    from millrace.operators.sessions import Listener
+
+    store = Store(spark)
+    store.create("t", "id int", ["id"])
+    Feed(store, "f", "t")
+    listener = Listener(store)
+    listener.listen("f")
+    listener.unlisten("f")
+    store.insert("t", spark.createDataFrame([(1,)], "id int"))
+    assert listener.poll() == []
