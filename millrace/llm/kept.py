@@ -45,18 +45,19 @@ class Kept:
         return [b"".join([known[w] for w in words]) for words in cut]
 
     def ids(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """For lists of words: all results as ids end to end, and where each list's ids end."""
+        """For lists of words, of less than 2^31 ids together: all results as ids end to end, and where each list's ids end."""
         coded = pieces.flatten().dictionary_encode()
         results = self.of(coded.dictionary.to_pylist())
         at = coded.indices.to_numpy(zero_copy_only=False)
         whole = np.frombuffer(b"".join(results), dtype="<u4")
-        size = np.fromiter(map(len, results), dtype=np.int64, count=len(results)) // 4
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, results), dtype=np.int32, count=len(results)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
         sizes = size[at]
         ends = np.cumsum(sizes)
-        shift = np.repeat(start[at] - (ends - sizes), sizes)
+        place = np.repeat(start[at] - (ends - sizes).astype(np.int32), sizes)
+        place += np.arange(len(place), dtype=np.int32)
         offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        return whole[shift + np.arange(len(shift))], np.concatenate([[0], ends])[offsets[1:]]
+        return whole[place], np.concatenate([[0], ends])[offsets[1:]]
 
 
 def slice_ids(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
