@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, shared_dir, ship
 from ..sources.tables import table
 
-__all__ = ["map_arrow", "new_path", "shared_dir", "slices", "table", "written"]
+__all__ = ["map_arrow", "new_path", "shared_dir", "slices", "table", "without", "written"]
+
+#: Numbers that `without` broadcasts at most.
+GONE = 500_000
 
 
 def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
@@ -20,6 +24,13 @@ def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key (a long) is in `gone`: by a broadcast of at most GONE numbers, beyond that by a shuffle."""
+    listed = written(gone, "gone")
+    few = listed.count() <= GONE
+    return df.join(F.broadcast(listed) if few else listed, key, "left_anti")
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """df.mapInArrow with the package's code at hand on every executor."""
     ship(df.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Files
-from .common import new_path, table, written
+from .common import new_path, table, without, written
 
 #: At most this many groups can have more than 1/HOT_SHARES of all rows, so a broadcast of them is bounded.
 HOT_SHARES = 1000
@@ -129,15 +129,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns: of each group of equal texts one row with the smallest doc_id.
 
     Rows that repeat a kept doc_id with an equal text are dropped as well: of such rows the first in the order of
-    the table's own files stays. The rows to keep are decided on digests, and a filter that carries no text joins
-    them to the documents.
+    the table's own files stays. The rows to drop are found on digests; `without` then takes them out. docs must be
+    such that reading it again gives the same rows in the same order, as a Parquet table does.
     """
-    names = docs.columns
+    rows = docs.withColumn("_mr_row", F.monotonically_increasing_id())
+    thin = written(rows.select("_mr_row", "doc_id", digest(F.col("text")).alias("_mr_digest")), "dedup_rows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_mr_row").alias("row"))
-    rows = written(docs.withColumn("_mr_row", F.monotonically_increasing_id()), "dedup_in")
-    firsts = rows.select(digest(F.col("text")).alias("_mr_digest"), place.alias("_mr_place")).groupBy("_mr_digest").agg(F.min("_mr_place").alias("_mr_place"))
-    keep = firsts.select(F.col("_mr_place.row").alias("_mr_row"))
-    return rows.join(keep, "_mr_row", "left_semi").select(*names)
+    firsts = thin.groupBy("_mr_digest").agg(F.min(place).alias("_mr_first"))
+    gone = thin.join(firsts, "_mr_digest").filter("_mr_row <> _mr_first.row").select("_mr_row")
+    return without(rows, gone, "_mr_row").select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

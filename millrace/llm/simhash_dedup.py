@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, written
+from .common import map_arrow, table, without, written
 from .components import components
 
 SEED = 42
@@ -236,7 +236,7 @@ def near_dedup(docs: DataFrame, radius: int = 4, words_in_shingle: int = 4) -> D
     Rows without a doc_id are kept, as they cannot be named. Of repeated doc_ids all rows of the kept id stay.
     """
     gone = near_groups(docs, radius, words_in_shingle).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone, "doc_id").select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
