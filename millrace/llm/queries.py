@@ -10,6 +10,7 @@ from .packing import op10_packing
 from .pii import op5_pii
 from .quality import op9_quality
 from .secrets import op3_secret_scan
+from .secrets import oracle as oracle_op3
 from .sharding import op4_sharding
 from .simhash_dedup import op6_simhash_near_dedup
 
@@ -27,5 +28,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_secret_scan": oracle_op3(),
     "op8_exact_dedup": ORACLE_OP8,
 }

@@ -94,3 +94,29 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def oracle(rules: tuple[Rule, ...] = BASE + MORE) -> str:
+    """DuckDB SQL for the rows of op3: gaps and matches of each rule add up to positions, without any index."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(
+        f"SELECT rid, {i} AS o, '{r.name}' AS kind, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gaps, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}) AS m, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g FROM d"
+        for i, r in enumerate(rules)
+    )
+    span = "kind || ':' || start || ':' || (start + n)"
+    base = ", ".join(f"count(*) FILTER (WHERE o = {i}) AS n_{r.name}" for i, r in enumerate(BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({kinds}),
+s AS (
+  SELECT rid, o, kind, least, length(m[i]) AS n, length(g[i]) AS size,
+    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0)
+),
+f AS (SELECT rid, o, kind, n, CAST(start AS BIGINT) AS start FROM s WHERE size >= least)
+SELECT doc_id, {base},
+  sha256(coalesce(string_agg({span}, ',' ORDER BY start, o) FILTER (WHERE o < {len(BASE)}), '')) AS base_sha256,
+  coalesce(string_agg({span}, ',' ORDER BY start, o), '') AS spans
+FROM d LEFT JOIN f USING (rid) GROUP BY rid, doc_id
+"""
