@@ -158,6 +158,7 @@ def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
             F.sha2(whole, 256).alias("digest"),
         ),
         "media_rows",
+        "zstd",
     )
     repeated = spark.sparkContext.broadcast(_repeated(rows))
 
@@ -194,18 +195,21 @@ def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 5, _PLACE_SCHEMA)], schema=_PLACE_SCHEMA)
         writer.close()
 
-    once = written(map_arrow(named.select("text"), first, _PLACE), "media_first")
+    once = written(map_arrow(named.select("text"), first, _PLACE), "media_first", "zstd")
     again = once.filter("media IS NOT NULL").select("digest", "media").repartition("digest").sortWithinPartitions("digest")
     twice = written(map_arrow(again, second, _PLACE), "media_second")
     return rows, once.filter("media IS NULL").unionByName(twice).drop("media")
 
 
 def read_back(places: DataFrame, folder: str) -> DataFrame:
-    """places with width, height, depth (header-only reads) and payload_sha256, tail_crc32, media_sha256, feature (whole reads)."""
+    """places with width, height, depth (header-only reads) and tail_crc32, media_sha256, feature (whole reads).
+
+    The hash of the payload as read back must be its digest, else the store is damaged and that is an error.
+    """
     kept = ["digest", "shard", "offset", "length"]
     schema = pa.schema([
         ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("depth", pa.int32()),
-        ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+        ("tail_crc32", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +227,10 @@ def read_back(places: DataFrame, folder: str) -> DataFrame:
                 width, height, depth = png_header(opened.read_at(33, offset))
                 media = opened.read_at(length, offset)
                 samples = from_png(media)
+                if hashlib.sha256(samples).hexdigest() != digest:
+                    raise ValueError(f"{shard} at {offset} does not hold {digest}")
                 out.append((
-                    digest, shard, offset, length, width, height, depth, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), hashlib.sha256(media).hexdigest(), feature(samples, width, height)
+                    digest, shard, offset, length, width, height, depth, zlib.crc32(samples[-32:]), hashlib.sha256(media).hexdigest(), feature(samples, width, height)
                 ))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(schema), schema)], schema=schema)
         if opened is not None:
@@ -233,7 +239,7 @@ def read_back(places: DataFrame, folder: str) -> DataFrame:
     dealt = places.select(*kept).withColumn("part", F.floor(F.col("offset") / READ_BYTES)).repartition("shard", "part").sortWithinPartitions("shard", "offset")
     return map_arrow(
         dealt.select(*kept), run,
-        "digest string, shard string, offset long, length long, width int, height int, depth int, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string",
+        "digest string, shard string, offset long, length long, width int, height int, depth int, tail_crc32 long, media_sha256 string, feature string",
     )
 
 
@@ -241,11 +247,11 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """One row for each row of docs with its place and all media columns."""
     folder = folder or new_path(docs.sparkSession, "media")
     rows, places = store(docs, folder)
-    return rows.join(written(read_back(places, folder), "media_columns"), "digest")
+    return rows.join(written(read_back(places, folder), "media_columns", "zstd"), "digest")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature",
+        "doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature",
         "shard", "offset", "width", "height", "depth",
     )
