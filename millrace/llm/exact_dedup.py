@@ -135,7 +135,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("_mr_row", F.monotonically_increasing_id())
     thin = written(rows.select("_mr_row", "doc_id", digest(F.col("text")).alias("_mr_digest")), "dedup_rows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_mr_row").alias("row"))
-    firsts = thin.groupBy("_mr_digest").agg(F.min(place).alias("_mr_first"))
+    # Written, so that the join below stands alone in its stage and a group of very many copies can be split.
+    firsts = written(thin.groupBy("_mr_digest").agg(F.min(place).alias("_mr_first")), "dedup_firsts")
     gone = thin.join(firsts, "_mr_digest").filter("_mr_row <> _mr_first.row").select("_mr_row")
     return without(rows, gone, "_mr_row").select(*docs.columns)
 
