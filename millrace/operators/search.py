@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, l2, negative_inner
-from ..sources.shared import new_path, ship
+from ..sources.shared import new_path, ship, written
 from ..sources.tables import table
 
 K1, B = 1.2, 0.75
@@ -74,7 +74,7 @@ class IvfIndex:
 
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, lower-cased, of two or more characters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= 2)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def query_terms(text: str) -> list[str]:
@@ -84,15 +84,16 @@ def query_terms(text: str) -> list[str]:
 
 
 def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def bm25(docs: DataFrame, query: str, k: int | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, score) of the documents that have a query term. One scan for the corpus figures, one for the scores; no postings are shuffled."""
+    """(key, score) of the documents that have a query term. One scan counts; figures and scores come from its few numbers a row; nothing is shuffled."""
     terms = query_terms(query)
     counts = docs.select(key, tokens(F.col(column)).alias("t")).select(
         key, F.size("t").alias("dl"), *[_occurrences("t", w).alias(f"tf{i}") for i, w in enumerate(terms)]
     )
+    counts = written(counts, "bm25_counts")
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
