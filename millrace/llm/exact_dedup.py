@@ -128,12 +128,12 @@ def annotate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns: of each group of equal texts one row with the smallest doc_id.
 
-    Rows that repeat a kept doc_id with an equal text are dropped as well: of such rows the first in the order of
-    the table's own files stays. The rows to drop are found on digests; `without` then takes them out. docs must be
-    such that reading it again gives the same rows in the same order, as a Parquet table does.
+    Rows that repeat a kept doc_id with an equal text are dropped as well: one of them stays. docs is read once, and its
+    numbered rows are written; a second numbering could name other rows, as it depends on how Spark packs the files.
     """
-    rows = docs.withColumn("_mr_row", F.monotonically_increasing_id())
-    thin = written(rows.select("_mr_row", "doc_id", digest(F.col("text")).alias("_mr_digest")), "dedup_rows")
+    numbered = docs.withColumn("_mr_row", F.monotonically_increasing_id()).withColumn("_mr_digest", digest(F.col("text")))
+    rows = written(numbered, "dedup_rows")
+    thin = rows.select("_mr_row", "doc_id", "_mr_digest")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_mr_row").alias("row"))
     # Written, so that the join below stands alone in its stage and a group of very many copies can be split.
     firsts = written(thin.groupBy("_mr_digest").agg(F.min(place).alias("_mr_first")), "dedup_firsts")

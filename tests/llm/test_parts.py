@@ -40,6 +40,28 @@ def test_dedup_keeps_one_row_of_each_text(spark):
     assert len(set(normal)) == len(normal) and sorted(r["doc_id"] for r in rows if r["doc_id"] in (1, 2, 3, 4, 5)) == [1, 2, 4]
 
 
+def test_dedup_holds_when_files_are_packed_anew(spark, tmp_path, monkeypatch):
+    """Lost or new executors change how files are packed into partitions between two jobs; here a setting does."""
+    for i in range(12):
+        part = spark.createDataFrame([(j, f"text {j % 200}") for j in range(i * 20, i * 20 + 20)], "doc_id long, text string")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    before, key = exact_dedup.written, "spark.sql.files.openCostInBytes"
+    cost = spark.conf.get(key)
+
+    def then_packed_anew(*args):
+        out = before(*args)
+        spark.conf.set(key, str(1 << 30))
+        return out
+
+    monkeypatch.setattr(exact_dedup, "written", then_packed_anew)
+    spark.conf.set(key, "1")
+    try:
+        left = exact_dedup.dedup(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    finally:
+        spark.conf.set(key, cost)
+    assert sorted(r["doc_id"] for r in left) == list(range(200))
+
+
 def test_near_dedup_keeps_rows_without_id(spark):
     docs = clashing(edge_docs(spark))
     out = simhash_dedup.near_dedup(docs)
