@@ -2,8 +2,9 @@
 
 Pages are parsed to a light tree. Every element subtree gets a hash of its tags
 and text (attributes such as links and ids vary from page to page and do not count). Spark counts, for each
-host, on how many of its pages a subtree occurs; a subtree on at least LEAST_PAGES pages and
-at least SHARE of the host's pages belongs to the site's template and is
+host, on how many of its distinct pages a subtree occurs (pages of equal tags and text are one page, however many
+rows have it); a subtree on at least LEAST_PAGES distinct pages and
+at least SHARE of the host's distinct pages belongs to the site's template and is
 deleted. Elements that say what they are (nav, footer, aside, form, class="ad", ...) go at once.
 Running text inside an article (paragraphs, headings, quotes, ...) is never a template, however
 often a site repeats it: it is content that was copied. If a page marks its article, only that is read.
@@ -225,20 +226,22 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, digest): the subtrees that recur across pages of a host."""
+    """(host, digest): the subtrees that recur across distinct pages of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda d: d - (1 << 64) if d >> 63 else d
         for batch in batches:
             for part in slices(batch, 1):
-                hosts, digests = [], []
-                for h, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = subtrees(parse(html or ""))
-                    hosts += [h] * (len(found) + 1)
-                    digests += [None, *(d - (1 << 64) if d >> 63 else d for d in found)]
-                yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], names=["host", "digest"])
+                whole, digests = [], []
+                for html in part.column(1).to_pylist():
+                    top = parse(html or "")
+                    whole.append(signed(top.digest))
+                    digests.append([None, *map(signed, subtrees(top))])
+                yield pa.record_batch([part.column(0), pa.array(whole, pa.int64()), pa.array(digests, pa.list_(pa.int64()))], names=["host", "page", "digests"])
 
     read = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string")).filter("host <> ''")
-    counts = map_arrow(read, run, "host string, digest long").groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
+    distinct = map_arrow(read, run, "host string, page long, digests array<long>").groupBy("host", "page").agg(F.first("digests").alias("digests"))
+    counts = distinct.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.filter(f"digest IS NULL OR n >= {least_pages}")
     found = written(counts, "subtree_counts")
     sizes = found.filter("digest IS NULL").select("host", F.col("n").alias("pages"))

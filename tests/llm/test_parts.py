@@ -304,3 +304,14 @@ def test_quality_held_out_accuracy(spark, sf_dir):
     scores = quality.op9_quality(spark, folder)
     both = scores.filter("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
     assert len(both) > 50 and sum(r["predicted"] == r["quality"] for r in both) / len(both) > 0.93
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """Copies count as one page, with and without an article; what recurs on distinct pages still goes."""
+    rows = [(f"http://a.example.com/{i}", "<body><p>Hello</p></body>") for i in range(5)]
+    rows += [(f"http://b.example.com/{i}", "<article><div><p>Own</p></div><ul><li>one</ul></article>") for i in range(6)]
+    rows += [(f"http://c.example.com/{i}", f"<div>Bar</div><p>Page {i % 6}") for i in range(12)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(docs).collect()}
+    assert [got[i] for i in range(5)] == ["Hello"] * 5 and [got[i] for i in range(5, 11)] == ["Own\none"] * 6
+    assert [got[11 + i] for i in range(12)] == [f"Page {i % 6}" for i in range(12)]
