@@ -61,7 +61,8 @@ CLOSES_P = frozenset(
 )
 
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<([!?])[^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)\b(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?", re.I)
+#: One attribute, name and value, so that what stands inside a value is never taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+")
 _WORDS = re.compile(r"[a-z]+")
 
 

@@ -315,3 +315,18 @@ def test_copies_of_a_page_are_no_template(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extract(docs).collect()}
     assert [got[i] for i in range(5)] == ["Hello"] * 5 and [got[i] for i in range(5, 11)] == ["Own\none"] * 6
     assert [got[11 + i] for i in range(12)] == [f"Page {i % 6}" for i in range(12)]
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'title="The hidden life of X"', 'data-id="menu"', "data-x=\"a class='ad' b\"", "x-hidden", "title='hidden", "href=/a/hidden", 'data-role = "navigation"'])
+def test_values_and_longer_names_mark_nothing(attributes):
+    assert html_extract.main_text(html_extract.parse(f"<article><div {attributes}>Body</div></article>"), set()) == "Body"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'style="x" hidden', 'a=b\nHIDDEN=""', "id=menu", "class = 'x ad'", 'title="a"class="ad"', "aria-hidden=true", "role='navigation'", "itemprop=comment", "/hidden", "class='ad"])
+def test_names_still_mark(attributes):
+    assert html_extract.main_text(html_extract.parse(f"<article><div {attributes}>Body</div>rest</article>"), set()) in ("rest", "")
+
+
+def test_attributes_take_linear_time():
+    top = html_extract.parse("<p" + " " * 300_000 + "x" + " =" * 100_000 + ">Body</p>")
+    assert html_extract.main_text(top, set()) == "Body"
