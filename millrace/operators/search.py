@@ -17,6 +17,8 @@ K1, B = 1.2, 0.75
 #: Rows that centroids are fitted on at most.
 SAMPLE = 20_000
 LLOYD = 5
+#: Lists of 16 that a search reads: the fewest that find 0.9 of the 10 nearest, as a mean over queries.
+PROBES = 11
 METRICS = {"l2": l2, "cosine": cosine, "ip": negative_inner}
 
 
@@ -64,7 +66,7 @@ class IvfIndex:
         typed = vectors.select(F.col(key).cast("long").alias("k"), F.col(column).cast("array<double>").alias("v")).filter("v IS NOT NULL")
         typed.mapInArrow(assign, "k long, v array<double>, list_id int").repartition("list_id", F.pmod(F.xxhash64("k"), F.lit(8))).write.partitionBy("list_id").parquet(self.path)
 
-    def search(self, query: list[float], k: int, probes: int = 4) -> DataFrame:
+    def search(self, query: list[float], k: int, probes: int = PROBES) -> DataFrame:
         """Exact distances in the `probes` nearest lists; with as many probes as lists the result is exact."""
         q = _unit(np.array([query], dtype=float), self.metric)
         near = np.argsort(((self.centres - q) ** 2).sum(axis=1), kind="stable")[:probes]
@@ -171,7 +173,7 @@ def knn_ivfflat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = IvfIndex(table(spark, sf_dir, "embeddings"), 16)
-    return _ranked(index.search(_query_vector(spark, sf_dir), 10, probes=4), "vec_id")
+    return _ranked(index.search(_query_vector(spark, sf_dir), 10), "vec_id")
 
 
 def knn_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from millrace.catalogue import ORACLES, QUERIES
+from millrace.operators import search
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,18 @@ def test_probed_lists_find_most_of_the_nearest(spark, sf_dir):
     assert len(probed) == 10 and len(exact & probed) >= 5
 
 
+def test_mean_recall_of_probed_lists(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = {r["vec_id"]: r["embedding"] for r in vectors.collect()}
+    index = search.IvfIndex(vectors, 16)
+    recall = []
+    for i in sorted(rows)[:: max(1, len(rows) // 25)]:
+        exact = sorted(rows, key=lambda j: (sum((a - b) ** 2 for a, b in zip(rows[i], rows[j])), j))[:10]
+        found = {r["vec_id"] for r in index.search(rows[i], 10).collect()}
+        recall.append(len(found & set(exact)) / len(exact))
+    assert sum(recall) / len(recall) >= 0.9
+
+
 def test_explain_and_analyze(spark, sf_dir):
     plan = QUERIES["explain"](spark, sf_dir).first()[0]
     assert "PushedFilters" in plan and "GreaterThan(o_orderkey,10)" in plan
