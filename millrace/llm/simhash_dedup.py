@@ -60,16 +60,17 @@ def fingerprint(text: bytes, words_in_shingle: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, words_in_shingle: int = 4, *more: str) -> DataFrame:
+    """(doc_id, *more, fp): the fingerprint's bits as a signed long; `more` are further columns of longs."""
+    names = ["doc_id", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py() or b"", words_in_shingle) for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(x.as_py() or b"", words_in_shingle) for x in batch.column(len(names))]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=[*names, "fp"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.encode(F.col("text"), "UTF-8").alias("text"))
-    return map_arrow(texts, run, "doc_id long, fp long")
+    texts = docs.select(*[F.col(c).cast("long").alias(c) for c in names], F.encode(F.col("text"), "UTF-8").alias("text"))
+    return map_arrow(texts, run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def grid_groups(n: int, radius: int) -> int:
@@ -219,24 +220,26 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return out if found is None else out.unionByName(found)
 
 
-def near_groups(docs: DataFrame, radius: int = 4, words_in_shingle: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
-    rows = written(fingerprints(docs, words_in_shingle), "fingerprints")
+def near_groups(docs: DataFrame, radius: int = 4, words_in_shingle: int = 4, *more: str) -> DataFrame:
+    """(doc_id, *more, fp, component_id) for every row of docs."""
+    rows = written(fingerprints(docs, words_in_shingle, *more), "fingerprints")
     firsts = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "firsts")
     found = components(links(firsts.select("fp"), radius))
     labelled = firsts.join(found, firsts.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = written(labelled.join(least, "component").select("fp", "component_id"), "component_ids")
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(names, "fp").select("doc_id", *more, "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = 4, words_in_shingle: int = 4) -> DataFrame:
     """The rows of docs, one document of each group: the one with the smallest doc_id.
 
-    Rows without a doc_id are kept, as they cannot be named. Of repeated doc_ids all rows of the kept id stay.
+    Rows without a doc_id are kept, as they cannot be named. Rows go one by one: of repeated doc_ids all rows of the kept
+    id in the group stay, and so does a row whose text is unlike that of a dropped row of its doc_id.
     """
-    gone = near_groups(docs, radius, words_in_shingle).filter("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, gone, "doc_id").select(*docs.columns)
+    rows = written(docs.withColumn("_mr_row", F.monotonically_increasing_id()), "near_rows")
+    gone = near_groups(rows, radius, words_in_shingle, "_mr_row").filter("doc_id <> component_id").select("_mr_row")
+    return without(rows, gone, "_mr_row").select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

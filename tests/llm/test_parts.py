@@ -69,6 +69,12 @@ def test_near_dedup_keeps_rows_without_id(spark):
     assert out.filter("doc_id IS NULL").count() == 2 and out.filter("doc_id IN (1, 2, 3)").count() == 1
 
 
+def test_near_dedup_drops_rows_not_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "One two  three four five"), (2, "quite another text of its own"), (3, "a third")], "doc_id long, text string")
+    left = simhash_dedup.near_dedup(docs).collect()
+    assert sorted(map(tuple, left)) == [(1, "one two three four five"), (2, "quite another text of its own"), (3, "a third")]
+
+
 @pytest.mark.parametrize("groups", [5, 6, 7, 8])
 def test_cells_lose_no_pair(spark, groups):
     rng = random.Random(groups)
