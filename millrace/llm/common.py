@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import new_path, shared_dir, ship
 from ..sources.tables import table
 
-__all__ = ["map_arrow", "new_path", "shared_dir", "slices", "table", "without", "written"]
+__all__ = ["free", "map_arrow", "new_path", "shared_dir", "slices", "table", "without", "written"]
 
 #: Numbers that `without` broadcasts at most.
 GONE = 500_000
@@ -31,6 +31,15 @@ def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(listed) if few else listed, key, "left_anti")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, compared without case: the name itself, or with underscores in front."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """df.mapInArrow with the package's code at hand on every executor."""
     ship(df.sparkSession)

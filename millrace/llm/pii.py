@@ -4,7 +4,9 @@ Patterns propose spans. Labelers vote on each (1 for, -1 against, 0 abstains): i
 a gazetteer of its kind, the words before it, what it touches. Expectation-maximisation
 over the counts of vote patterns, which are few whatever the input, estimates how
 reliable each labeler is and how likely each span is personal data. These posteriors train the final span classifier,
-a logistic model of kind, votes and length, again over counts. Its score is an expression on the spans' own columns.
+a logistic model of the span itself and of its context: kind, length, separators, letters and digits, the characters beside it, the
+word before it, and the votes. So it carries what the labelers agree on to features that none of them looks at. It is fitted over counts
+of feature patterns, the MOST most frequent of them. Its score is an expression on the spans' own columns and is returned with them.
 Spans of the base kinds always stay; further kinds stay where the classifier scores one half or more.
 
 Defined results: a null text counts as empty and has no spans; a null doc_id is
@@ -21,8 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .spans import cut, joined, matches
+from .common import free, table, written
+from .spans import chunks, cut, joined, larger, let, matches, running
 
 #: Kinds, their patterns (possessive, and anchored at run starts, so that no text takes more than linear time) and a test that says if there is any.
 PATTERNS = {
@@ -47,6 +49,12 @@ WINDOW = 32
 LABELERS = ("format", "gazetteer", "context", "border")
 LENGTHS = (10, 15, 20)
 ROUNDS = 30
+#: Feature patterns (with their counts) that the classifier is fitted on at most.
+MOST = 20_000
+#: Buckets of the word before a span.
+BUCKETS = 16
+#: Features of a span and its context, and their values.
+FEATURES = {"size": range(len(LENGTHS) + 1), "separator": range(5), "shape": range(8), "left": range(5), "right": range(5), "word": range(-1, BUCKETS)}
 
 
 def digits(text: Column) -> Column:
@@ -111,33 +119,56 @@ def _votes(kind: str, found: Column, before: Column, after: Column) -> list[Colu
     return [format_, gazetteer, context, border]
 
 
-SPANS = "array<struct<order: int, start: int, end: int, kind: string, size: int, format: int, gazetteer: int, context: int, border: int>>"
+SPANS = f"array<struct<order: int, start: int, end: int, kind: string, {', '.join(f'{c}: int' for c in (*FEATURES, *LABELERS))}>>"
+
+
+def _beside(c: Column) -> Column:
+    """The class of a neighbouring character: none, white space, bracket or quote or sign of equality, other mark, letter or digit."""
+    kinds = [(c == "", 0), (F.rlike(c, F.lit(r"^\s")), 1), (F.rlike(c, F.lit(r"^[\w]")), 4), (F.rlike(c, F.lit(r"""^[()\[\]{}<>"':=]""")), 2)]
+    out = F.lit(3)
+    for test, value in reversed(kinds):
+        out = F.when(test, value).otherwise(out)
+    return out
+
+
+def _described(found: Column, before: Column, after: Column) -> list[Column]:
+    """The values of FEATURES, in their order."""
+    has = lambda c, p: F.rlike(c, F.lit(p)).cast("int")
+    marks = F.regexp_replace(found, r"[A-Za-z0-9@+]", "")
+    same = lambda c: F.rlike(marks, F.lit(f"^[{c}]+$"))
+    word = F.lower(F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1))
+    return [
+        sum(((F.length(found) >= n).cast("int") for n in LENGTHS), F.lit(0)),
+        F.when(marks == "", 0).when(same(r"\x20"), 1).when(same("-"), 2).when(same("."), 3).otherwise(4),
+        has(found, "[A-Z]") + 2 * has(found, "[a-z]") + 4 * has(found, "[0-9]"),
+        _beside(F.substring(before, -1, 1)),
+        _beside(after),
+        F.when(word == "", -1).otherwise(F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")),
+    ]
 
 
 def _spans(text: Column, kind: str, order: int) -> Column:
     def described(s: Column) -> Column:
-        found = cut(text, s)
-        low = F.greatest(s["start"] - WINDOW, F.lit(0))
-        before = F.substring(text, low + 1, s["start"] - low)
-        after = F.substring(text, s["end"] + 1, F.lit(1))
-        length = s["end"] - s["start"]
-        size = sum(((length >= n).cast("int") for n in LENGTHS), F.lit(0))
-        votes = [v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(kind, found, before, after))]
-        return F.struct(F.lit(order).alias("order"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), size.alias("size"), *votes)
+        after = F.coalesce(s["after"], F.lit(""))
+        values = [v.cast("int").alias(n) for n, v in zip(FEATURES, _described(s["found"], s["before"], after))]
+        votes = [v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(kind, s["found"], s["before"], after))]
+        return F.struct(F.lit(order).alias("order"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), *values, *votes)
 
-    found = F.filter(matches(text, PATTERNS[kind]), lambda s: _holds(kind, cut(text, s)))
-    return F.when(F.rlike(text, F.lit(PATTERNS[kind])), F.transform(found, described)).otherwise(F.array().cast(SPANS))
+    return F.transform(F.filter(matches(text, PATTERNS[kind], WINDOW), lambda s: _holds(kind, s["found"])), described)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with a column `_spans` of all candidates and their votes, by kind, then start."""
+def candidates(docs: DataFrame, name: str = "_spans") -> DataFrame:
+    """docs with a column `name` of all candidates, their features and votes, by kind, then start."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_spans", F.array_sort(F.concat(*[_spans(text, k, i) for i, k in enumerate(PATTERNS)])))
+    return docs.withColumn(name, F.array_sort(F.concat(*[_spans(text, k, i) for i, k in enumerate(PATTERNS)]).cast(SPANS)))
+
+
+_VALUES = {**FEATURES, **{name: range(-1, 2) for name in LABELERS}}
 
 
 @dataclass
 class SpanClassifier:
-    """A logistic model: weights by (kind), (labeler, vote) and (size); reliabilities as estimated."""
+    """A logistic model: weights by (kind), (feature, value) and (labeler, vote); reliabilities as estimated."""
 
     weights: dict[tuple, float]
     reliability: dict[str, float]
@@ -145,9 +176,8 @@ class SpanClassifier:
     def score(self, s: Column) -> Column:
         total = F.lit(self.weights[("bias",)])
         total = total + self._of(s["kind"], {k: self.weights[("kind", k)] for k in PATTERNS})
-        total = total + self._of(s["size"], {i: self.weights[("size", i)] for i in range(len(LENGTHS) + 1)})
-        for name in LABELERS:
-            total = total + self._of(s[name], {v: self.weights[(name, v)] for v in (-1, 0, 1)})
+        for name, values in _VALUES.items():
+            total = total + self._of(s[name], {v: self.weights[(name, v)] for v in values})
         return 1 / (1 + F.exp(-total))
 
     @staticmethod
@@ -158,11 +188,12 @@ class SpanClassifier:
         return out
 
 
-def fit(rows: DataFrame, rounds: int = ROUNDS) -> SpanClassifier:
-    """From all candidates of `rows` (a column `_spans`): counts by pattern in Spark, the rest on at most a few thousand counts."""
-    by = ["kind", "size", *LABELERS]
-    one = rows.select(F.explode("_spans").alias("s")).select(*[F.col(f"s.{c}") for c in by])
-    counts = one.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(*by).collect()
+def fit(rows: DataFrame, name: str = "_spans", rounds: int = ROUNDS, most: int = MOST) -> SpanClassifier:
+    """From all candidates of `rows` (a column `name`): counts by pattern in Spark, the rest on at most a few thousand counts."""
+    one = rows.select(F.explode(name).alias("s")).select("s.kind", *[F.col(f"s.{c}") for c in _VALUES])
+    patterns = written(one.groupBy("kind", *_VALUES).agg(F.count(F.lit(1)).alias("n")), "span_patterns")
+    by = ["kind", *LABELERS]
+    counts = patterns.groupBy(*by).agg(F.sum("n").alias("n")).orderBy(*by).collect()
     n = np.array([r["n"] for r in counts], dtype=float)
     votes = np.array([[r[c] for c in LABELERS] for r in counts], dtype=int).reshape(-1, len(LABELERS)) + 1
     kinds = list(PATTERNS)
@@ -183,11 +214,15 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> SpanClassifier:
                 share = np.bincount(votes[:, j], weights=weight, minlength=3)
                 start = np.array([[4.5, 3.5, 2.0], [1.0, 3.0, 6.0]])[y]
                 chance[j, y] = (share + start) / (share.sum() + 10)
-    names = [("bias",), *(("kind", k) for k in kinds), *(("size", i) for i in range(len(LENGTHS) + 1)), *((c, v) for c in LABELERS for v in (-1, 0, 1))]
+    likely = {tuple(r[c] for c in by): p for r, p in zip(counts, posterior)}
+    seen = patterns.orderBy(F.desc("n"), "kind", *_VALUES).limit(most).collect()
+    n = np.array([r["n"] for r in seen], dtype=float)
+    posterior = np.array([likely[tuple(r[c] for c in by)] for r in seen])
+    names = [("bias",), *(("kind", k) for k in kinds), *((c, v) for c, values in _VALUES.items() for v in values)]
     place = {x: i for i, x in enumerate(names)}
     x = np.zeros((len(n), len(names)))
-    for i, r in enumerate(counts):
-        for f in [("bias",), ("kind", r["kind"]), ("size", r["size"]), *((c, r[c]) for c in LABELERS)]:
+    for i, r in enumerate(seen):
+        for f in [("bias",), ("kind", r["kind"]), *((c, r[c]) for c in _VALUES)]:
             x[i, place[f]] = 1
     w = np.zeros(len(names))
     w[0] = math.log(0.7 / 0.3)
@@ -203,43 +238,58 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> SpanClassifier:
 
 
 def decided(spans: Column, model: SpanClassifier) -> Column:
-    """The spans that stay: the base kinds, and others that touch none of them and score one half or more."""
-    base = F.filter(spans, lambda s: s["order"] < len(BASE))
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(spans, lambda s: (s["order"] < len(BASE)) | (apart(s) & (model.score(s) >= 0.5)))
+    """The spans that stay, each with its score: the base kinds, and others that touch none of them and score one half or more."""
+    base = lambda s: s["order"] < len(BASE)
+    far = 1 << 40
+
+    def apart(found: Column) -> Column:
+        """`found` by start: a span of a further kind must begin after all base spans before it end, and end before the next one begins."""
+        ends = running(F.transform(found, lambda s: F.when(base(s), s["end"]).otherwise(0)), larger)
+        nexts = running(F.transform(F.reverse(found), lambda s: F.when(base(s), -s["start"].cast("long")).otherwise(-far)), larger, -far)
+        clear = lambda s, i, e, b: (F.get(e, i) <= s["start"]) & (-F.get(b, F.size(found) - 1 - i) >= s["end"])
+        kept = let(ends, lambda e: let(nexts, lambda b: F.filter(found, lambda s, i: base(s) | (clear(s, i, e, b) & (s["score"] >= 0.5)))))
+        return kept
+
+    scored = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), model.score(s).alias("score")))
+    chosen = let(scored, lambda x: F.when(F.exists(x, lambda s: ~base(s)), let(F.array_sort(x), apart)).otherwise(x))
+    # Back to the order of kinds, then starts.
+    placed = lambda s: F.struct(s["order"].alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"))
+    return F.array_sort(F.transform(chosen, placed))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans) for every row of docs."""
+    """(doc_id, spans) for every row of docs; a span has order, start, end, kind and score."""
     rows = written(candidates(docs.select(F.col("doc_id").cast("long"), F.col("text"))).select("doc_id", "_spans"), "pii_spans")
     return rows.select("doc_id", decided(F.col("_spans"), fit(rows)).alias("spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """text with each span, overlapping ones together, replaced by its kind in angle brackets."""
+    """text with each span, overlapping ones together, replaced by the first one's kind in angle brackets."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], end).alias("at"), out.alias("out"))
+    def whole(found: Column, ends: Column, parts: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0).cast("int")
+        places = F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), before(i).alias("from")))
+        firsts = F.filter(places, lambda s: s["start"] >= s["from"])
+        pieces = F.transform(firsts, lambda s: F.concat(cut(parts, s["from"], s["start"] - s["from"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        last = F.get(ends, F.size(ends) - 1).cast("int")
+        return F.concat(F.array_join(pieces, ""), cut(parts, last, F.length(text) - last))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(order, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    ends_of = lambda found: running(F.transform(found, lambda s: -s["back"]), larger)
+    return let(order, lambda found: let(ends_of(found), lambda ends: let(chunks(text), lambda parts: whole(found, ends, parts))))
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with personal data in `text` masked and `n_chars`, if there is one, counted anew. Null texts stay null."""
-    names = docs.columns
-    rows = written(candidates(docs), "pii_documents")
-    model = fit(rows)
-    out = rows.withColumn("_spans", decided(F.col("_spans"), model))
-    hit = F.size("_spans") > 0
-    out = out.withColumn("text", F.when(hit, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    names, spans = docs.columns, free(docs, "spans")
+    rows = written(candidates(docs, spans), "pii_documents")
+    model = fit(rows, spans)
+    out = rows.withColumn(spans, decided(F.col(spans), model))
+    hit = F.size(spans) > 0
+    out = out.withColumn("text", F.when(hit, masked(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    return out.select(*[F.col(f"`{c}`") for c in names])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,4 +301,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 3)), ",").alias("scores"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .spans import SPAN, cut, joined, matches
+from .spans import joined, matches
 from .trigrams import TRUE, build_index, candidates, query_of
 
 #: Candidate rows that are broadcast at most (each a doc_id and a few rule names); beyond that they are joined by a shuffle.
@@ -49,14 +49,9 @@ MORE = (
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    found = matches(text, rule.pattern)
     tagged = lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(rule.name).alias("kind"))
-    if rule.group:
-        parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-        found = F.filter(found, lambda s, i: F.length(F.element_at(parts, i + 1)) >= rule.least)
-    else:
-        found = F.filter(found, lambda s: s["end"] - s["start"] >= rule.least)
-    return F.transform(found, tagged)
+    size = lambda s: F.length(F.regexp_extract(s["found"], rule.pattern, rule.group) if rule.group else s["found"])
+    return F.transform(F.filter(matches(text, rule.pattern), lambda s: size(s) >= rule.least), tagged)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
@@ -76,11 +71,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     empty = F.array().cast("array<struct<start: int, order: int, end: int, kind: string>>")
     each = []
     for order, rule in enumerate(rules):
+        spans = _spans(F.col("text"), rule, order)
         if rule.name in indexed:
-            open_ = F.coalesce(F.array_contains("rules", rule.name), F.col("doc_id").isNull())
-        else:
-            open_ = F.rlike(F.col("text"), F.lit(rule.pattern))
-        each.append(F.when(open_, _spans(F.col("text"), rule, order)).otherwise(empty))
+            spans = F.when(F.coalesce(F.array_contains("rules", rule.name), F.col("doc_id").isNull()), spans).otherwise(empty)
+        each.append(spans)
     return rows.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
 
 
