@@ -1,12 +1,13 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Every passage is described by what its
-characters and words are like (never by label, language, source or id), encoded by a learned layer, and
+A document is a bag of passages of PASSAGE words. Every passage is described by its words and its runs of three bytes, hashed to
+buckets, and by what its characters and words are like (never by label, language, source or id), encoded by a learned layer, and
 weighted by a gated attention a = softmax(w . (tanh(V h) * sigmoid(U h))). The weighted sum of
 encodings is scored by a logistic unit. All weights are learned together from document labels only.
 
 Training takes at most MOST labelled rows, chosen by a hash of doc_id, from rows whose crc32(doc_id) mod 3 is
-not 1; the fit runs on the driver over their passage descriptions. Scoring reads every row's whole text.
+not 1; the fit runs on the driver over descriptions of at most FIT_PASSAGES passages of each, evenly over the text, so
+its memory is bounded. Scoring reads every row's whole text.
 
 Defined results: a null or blank text is one passage of no words and gets a score too; a null doc_id is not held out
 and never trains; repeated rows repeat; of several labels of one doc_id the least counts; an empty table gives an empty result; without
@@ -23,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import free, map_arrow, slices, table
 
 PASSAGE = 100
 #: Labelled rows used for training at most.
 MOST = 4000
+#: Passages of each of them at most.
+FIT_PASSAGES = 16
+#: Buckets of words and of runs of three bytes.
+WORD_BUCKETS, GRAM_BUCKETS = 64, 64
 ENCODED, ATTENTION = 16, 8
 EPOCHS = 150
 RIDGE = 1e-3
@@ -50,22 +55,61 @@ def _byte_classes() -> np.ndarray:
 
 
 _CLASS = _byte_classes()
-N_FEATURES = N_CLASSES + 7
-
-
-def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(passages x N_FEATURES, passages of each text): at least one passage for each text."""
+N_OTHER = N_CLASSES + 7
+N_FEATURES = N_OTHER + WORD_BUCKETS + GRAM_BUCKETS
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
+_POWERS = np.cumprod(np.full(64, 0x100000001B3, dtype=np.uint64), dtype=np.uint64)
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(20)).astype(np.int64) % buckets
+
+
+def _shares(of: np.ndarray, bucket: np.ndarray, passages: int, buckets: int) -> np.ndarray:
+    counts = np.bincount(of * buckets + bucket, minlength=passages * buckets).reshape(-1, buckets)
+    return counts / np.maximum(counts.sum(axis=1), 1)[:, None]
+
+
+def hashed(data: np.ndarray, of: np.ndarray, passages: int) -> np.ndarray:
+    """Of bytes and the passage of each: shares of words (runs of bytes above the space) and of runs of three bytes, by bucket, letters in lower case."""
+    low = _LOWER[data]
+    inside = data > 32
+    if len(data):
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | (of[1:] != of[:-1])
+        starts = np.flatnonzero(first)
+    else:
+        starts = np.zeros(0, dtype=np.int64)
+    if len(starts):
+        begin = np.concatenate([np.zeros(starts[0], dtype=np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))])
+        offset = np.arange(len(data)) - begin
+        hashes = np.add.reduceat(np.where(inside, (low + np.uint64(1)) * _POWERS[offset & 63], np.uint64(0)), starts)
+        words = _shares(of[starts], _bucket(hashes, WORD_BUCKETS), passages, WORD_BUCKETS)
+    else:
+        words = np.zeros((passages, WORD_BUCKETS))
+    if len(data) > 2:
+        same = of[2:] == of[:-2]
+        grams = (low[:-2] << np.uint64(16)) + (low[1:-1] << np.uint64(8)) + low[2:]
+        grams = _shares(of[2:][same], _bucket(grams[same], GRAM_BUCKETS), passages, GRAM_BUCKETS)
+    else:
+        grams = np.zeros((passages, GRAM_BUCKETS))
+    return np.sqrt(np.concatenate([words, grams], axis=1))
+
+
+def describe(texts: list[str], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(passages x N_FEATURES, passages of each text): at least one passage for each text. most: only so many of a text, evenly spaced."""
     raw, sizes, counts, words_of = [], [], [], []
     for text in texts:
         words = text.encode("utf-8", "replace").split(b" ") if text else []
         n = max(1, -(-len(words) // PASSAGE))
-        counts.append(n)
-        for i in range(n):
+        chosen = range(n) if most is None or n <= most else [i * (n - 1) // (most - 1) for i in range(most)]
+        counts.append(len(chosen))
+        for i in chosen:
             part = words[i * PASSAGE : (i + 1) * PASSAGE]
             whole = b" ".join(part)
             raw.append(whole)
             sizes.append(len(whole))
-            words = words if n > 1 else part
             tokens = whole.split()
             k = len(tokens)
             if k:
@@ -79,7 +123,7 @@ def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     of = np.repeat(np.arange(len(size)), size)
     shares = np.bincount(of * N_CLASSES + _CLASS[data], minlength=len(size) * N_CLASSES).reshape(-1, N_CLASSES) / np.maximum(size, 1)[:, None]
-    return np.concatenate([np.sqrt(shares), np.array(words_of).reshape(-1, 7)], axis=1), np.array(counts, dtype=np.int64)
+    return np.concatenate([np.sqrt(shares), np.array(words_of).reshape(-1, 7), hashed(data, of, len(size))], axis=1).astype(np.float32), np.array(counts, dtype=np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -114,7 +158,7 @@ class BagModel:
             return np.full(len(texts), self.constant)
         if not texts:
             return np.zeros(0)
-        return self.forward(*describe(texts))["p"]
+        return self.forward(*describe(texts))["p"].astype(float)
 
 
 def fit_bags(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> BagModel:
@@ -124,7 +168,9 @@ def fit_bags(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPO
     rng = np.random.default_rng(SEED)
     shapes = {"E": (N_FEATURES, ENCODED), "e": (ENCODED,), "V": (ENCODED, ATTENTION), "U": (ENCODED, ATTENTION), "a": (ATTENTION,), "c": (ENCODED,), "b": (1,)}
     w = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in "eb" else np.zeros(s) for k, s in shapes.items()}
-    model = BagModel(x.mean(axis=0), x.std(axis=0) + 1e-3, w)
+    x = x.astype(np.float32)
+    w = {k: a.astype(np.float32) for k, a in w.items()}
+    model = BagModel(x.mean(axis=0), x.std(axis=0) + np.float32(1e-3), w)
     m, v = ({k: np.zeros(s) for k, s in shapes.items()} for _ in range(2))
     for step in range(1, epochs + 1):
         r = model.forward(x, counts)
@@ -161,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, target: str = "q
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                x, counts = describe([t or "" for t in part.column(2).to_pylist()])
+                x, counts = describe([t or "" for t in part.column(2).to_pylist()], FIT_PASSAGES)
                 bags = [b.tobytes() for b in np.split(x, np.cumsum(counts)[:-1])]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
 
@@ -169,13 +215,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, target: str = "q
     # A doc_id that many rows repeat still trains once, so what comes to the driver is bounded.
     bags = map_arrow(texts.select("doc_id", "y", "text"), run, "doc_id long, y double, bag binary")
     rows = sorted(bags.groupBy("doc_id").agg(F.min(F.struct("y", "bag")).alias("r")).collect(), key=lambda r: r["doc_id"])
-    x = [np.frombuffer(r["r"]["bag"]).reshape(-1, N_FEATURES) for r in rows]
-    whole = np.concatenate(x) if x else np.zeros((0, N_FEATURES))
+    x = [np.frombuffer(r["r"]["bag"], dtype=np.float32).reshape(-1, N_FEATURES) for r in rows]
+    whole = np.concatenate(x) if x else np.zeros((0, N_FEATURES), dtype=np.float32)
     return fit_bags(whole, np.array([len(b) for b in x], dtype=np.int64), np.array([r["r"]["y"] for r in rows]))
 
 
-def scored(docs: DataFrame, model: BagModel) -> DataFrame:
-    """docs with a column `_score` for every row."""
+def scored(docs: DataFrame, model: BagModel, name: str = "_score") -> DataFrame:
+    """docs with a column `name`, which docs must not have, of the score of every row."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,15 +229,16 @@ def scored(docs: DataFrame, model: BagModel) -> DataFrame:
         for batch in batches:
             for part in slices(batch, at):
                 p = model.score([t or "" for t in part.column(at).to_pylist()])
-                yield pa.record_batch([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, "_score"])
+                yield pa.record_batch([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(docs, run, f"{schema}, _score double")
+    return map_arrow(docs, run, f"{schema}, `{name}` double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs that score `least` or more."""
-    return scored(docs, train(docs, labels)).filter(F.col("_score") >= least).drop("_score")
+    score = free(docs, "score")
+    return scored(docs, train(docs, labels), score).filter(F.col(score) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
