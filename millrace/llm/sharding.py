@@ -9,7 +9,7 @@ has room; all else stays where the ring puts it.
 
 How many rows each arc passes on is planned on the driver from one count for each arc
 (shards * VIRTUAL numbers, whatever the input). Rows get their rank within an arc
-without gathering an arc in one task: they are written once, dealt by range of (place, doc_id), and a row's number
+without gathering an arc in one task: they are written once, dealt by range of (place, hash, doc_id, a random tie), and a row's number
 in its file plus one offset for each file and arc is its rank.
 
 Defined results: a null text counts as no bytes (size 8, CRC of nothing); a null doc_id comes first
@@ -28,6 +28,7 @@ from .common import table, written
 
 SHARDS = 24
 VIRTUAL = 64
+SEED = 7
 #: Places on the ring: a row's place is the top bits of its text's hash.
 PLACES = 1 << 14
 
@@ -98,12 +99,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack:
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("hash"),
     ).withColumn("place", F.shiftrightunsigned("hash", 65 - PLACES.bit_length()).cast("int"))
-    order = ["place", "hash", "doc_id"]
+    # Rows that only `tie` tells apart (repeated ones, or equal texts without an id) may have any order, but not one task. It is written with the rows.
+    thin = thin.withColumn("tie", F.rand(SEED))
+    order = ["place", "hash", "doc_id", "tie"]
     rows = written(thin.repartitionByRange(*order).sortWithinPartitions(*order), "ring")
     arcs = F.broadcast(spark.createDataFrame([(p, arc_of(p, edges)) for p in range(PLACES)], "place int, arc int"))
     placed = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).join(arcs, "place")
     # One row for each file and arc it has: files are ranges of the ring, so files + arcs at most.
-    first = F.min(F.struct("place", "hash", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")))
+    first = F.min(F.struct("place", "hash", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "tie"))
     parts = placed.groupBy("file", "arc").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"), first.alias("low")).collect()
     parts.sort(key=lambda p: (p["arc"], tuple(p["low"]), p["file"]))
     counts, offsets = [0] * len(points), []
