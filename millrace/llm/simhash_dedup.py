@@ -1,20 +1,27 @@
 """SimHash near-duplicates by a segment-popcount embedding and a grid range-join.
 
-A fingerprint's 64 bits form 32 segments of two bits; a segment's bit count is a
-coordinate (0, 1 or 2). The Manhattan distance of two such vectors never
-exceeds the Hamming distance of the fingerprints. The coordinates are dealt to
-G groups, each a face of the grid: at distance r or less at most r groups differ, so
-at least G - r of them are equal, and two fingerprints within the radius share
-a cell for at least one choice of G - r groups. Joining on the cells of all choices
-therefore loses no pair; in a cell the Manhattan bound and then the exact
-Hamming distance decide. G grows with the number of fingerprints so that a cell
-of unlike fingerprints stays small; that changes the work, never the result.
-
-Copies meet before the join: it runs on distinct fingerprints. Inside a cell
-the links are found by comparing blocks of fingerprints, but only a spanning
-forest leaves the task, so a group of m near copies gives less than m rows a cell.
-Cells above CELL fingerprints are cut into blocks, and pairs of blocks become
-tasks of their own.
+A fingerprint's bits form segments; a segment's bit count is a coordinate. The Manhattan distance of two such vectors
+never exceeds the Hamming distance of the fingerprints. Fingerprints that agree on some coordinates share a cell of a grid;
+in a cell the Manhattan bound and then the exact Hamming distance decide.
+
+Two grids share all else:
+
+- `near_groups`: 64 bits, segments of two, a small radius, and no pair lost. The coordinates are dealt to G groups: at
+  distance r or less at most r groups differ, so two fingerprints within the radius share the cell of at least
+  one choice of G - r groups. G grows with the number of fingerprints so that a cell of unlike ones stays small; that changes the
+  work, never the result.
+- `similar_groups`: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more. There about 15 % of
+  all bits differ, which no small number of groups covers, and 64 bits tell too little. So fingerprints have 256 bits of one bit a segment,
+  and cells take bits drawn at random, from so many tables that a pair at the limit is found with a probability
+  of about 0.95 (a more similar one nearly always). Bits a cell and tables grow with the number of fingerprints. Pairs
+  that differ in LIMIT bits at most are candidates; the shingle sets of each are compared exactly, so nothing below the similarity is linked.
+  In cells above SMALL a fingerprint's candidates are its NEAREST nearest ones and a spanning forest.
+
+Copies meet before the join: it runs on distinct fingerprints. Only a spanning forest of a cell's links leaves its
+task. Links are sought by pivots: a pivot is held against its whole cell, what it links is joined to it, and only
+fingerprints of different components are compared further; a cell of m near copies of one text costs m comparisons, not m * m.
+Cells above CELL fingerprints are taken out, linked to one pivot each by a join, and only what that leaves is held against
+the cell, block by block.
 
 Defined results: null or blank text has the fingerprint zero and links like any
 other; a null doc_id takes part but is never the smallest unless its whole component
@@ -23,29 +30,37 @@ has none; repeated rows repeat; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, without, written
+from .common import free, map_arrow, table, without, written
 from .components import components
 
 SEED = 42
 #: Fingerprints in a cell that one task compares with each other; larger cells are cut into blocks of this size.
 CELL = 8192
+#: 64-bit words of a wide fingerprint, bits that may differ, and the share of differing bits that the tables are made for (a Jaccard similarity of 0.8 gives 0.15).
+WORDS, LIMIT, DIFFER = 4, 54, 0.155
+#: A cell of up to SMALL wide fingerprints gives all its pairs, a larger one NEAREST for each and a forest.
+SMALL, NEAREST = 32, 3
+SIMILARITY = 0.8
+#: Fingerprints that a task remembers as joined, to leave out links that join nothing new.
+SEEN = 1_000_000
 
 
-def fingerprint(text: bytes, words_in_shingle: int) -> int:
-    """Of UTF-8 text: ASCII letters lower-cased, words split at ASCII white space, XXH64 of each shingle."""
+def shingle_hashes(text: bytes, words_in_shingle: int) -> np.ndarray:
+    """Of UTF-8 text: ASCII letters lower-cased, words split at ASCII white space, XXH64 of each shingle; none without words."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     whole = b" ".join(words)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -53,24 +68,51 @@ def fingerprint(text: bytes, words_in_shingle: int) -> int:
     k = min(words_in_shingle, len(words))
     h = xxhash.xxh64_intdigest
     n = len(words) - k + 1
-    hashes = np.fromiter((h(whole[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), dtype=np.uint64, count=n)
+    return np.fromiter((h(whole[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), dtype=np.uint64, count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, words_in_shingle: int) -> int:
+    return majority(shingle_hashes(text, words_in_shingle))
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 4, *more: str) -> DataFrame:
-    """(doc_id, *more, fp): the fingerprint's bits as a signed long; `more` are further columns of longs."""
+def wide_fingerprint(text: bytes, words_in_shingle: int) -> list[int]:
+    """WORDS words of 64 bits over the set of shingles; further words come from the hashes, mixed anew."""
+    hashes = np.unique(shingle_hashes(text, words_in_shingle))
+    out = []
+    for i in range(WORDS):
+        mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(mixed ^ (mixed >> np.uint64(31))))
+    return out
+
+
+def fingerprints(docs: DataFrame, words_in_shingle: int = 4, *more: str, wide: bool = False) -> DataFrame:
+    """(doc_id, *more, fp), or w0, w1, ... for fp if wide: bits as signed longs; `more` are further columns of longs."""
     names = ["doc_id", *more]
+    columns = _words(wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py() or b"", words_in_shingle) for x in batch.column(len(names))]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=[*names, "fp"])
+            texts = (x.as_py() or b"" for x in batch.column(len(names)))
+            found = [wide_fingerprint(t, words_in_shingle) if wide else [fingerprint(t, words_in_shingle)] for t in texts]
+            bits = np.array(found, dtype=np.uint64).reshape(-1, len(columns)).view(np.int64)
+            yield pa.record_batch([*batch.columns[:-1], *(pa.array(bits[:, i]) for i in range(len(columns)))], names=[*names, *columns])
+
+    texts = docs.select(*[F.col(c).cast("long").alias(c) for c in names], F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    return map_arrow(texts, run, ", ".join(f"`{c}` long" for c in [*names, *columns]))
+
 
-    texts = docs.select(*[F.col(c).cast("long").alias(c) for c in names], F.encode(F.col("text"), "UTF-8").alias("text"))
-    return map_arrow(texts, run, ", ".join(f"{c} long" for c in [*names, "fp"]))
+def _words(wide: bool) -> list[str]:
+    return [f"w{i}" for i in range(WORDS)] if wide else ["fp"]
 
 
 def grid_groups(n: int, radius: int) -> int:
@@ -81,22 +123,45 @@ def grid_groups(n: int, radius: int) -> int:
     return radius + 5
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def cells(fps: DataFrame, radius: int, groups: int) -> DataFrame:
-    """(choice, cell, fp): a row for each choice of groups - radius groups."""
+    """(cell, fp): a row for each choice of groups - radius groups. Cells are hashes of choice and coordinates."""
     lows = [round(32 * g / groups) for g in range(groups + 1)]
     masks = []
     for chosen in combinations(range(groups), groups - radius):
-        mask = sum(3 << 2 * i for g in chosen for i in range(lows[g], lows[g + 1]))
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+        masks.append(_signed(sum(3 << 2 * i for g in chosen for i in range(lows[g], lows[g + 1]))))
     odd, beside = F.lit(0x5555555555555555), F.shiftrightunsigned("fp", 1)
     two = F.shiftleft(F.col("fp").bitwiseAND(beside).bitwiseAND(odd), 1)
     counts = two.bitwiseOR(F.col("fp").bitwiseXOR(beside).bitwiseAND(odd))
     return fps.withColumn("_c", counts).select(
         F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("choice", "_mask"), "_c", "fp"
-    ).select("choice", F.col("_c").bitwiseAND(F.col("_mask")).alias("cell"), "fp")
+    ).select(F.xxhash64("choice", F.col("_c").bitwiseAND(F.col("_mask"))).alias("cell"), "fp")
+
+
+def tables_for(n: int) -> tuple[int, int]:
+    """(bits a cell, tables) for n wide fingerprints: about eight unlike ones a cell, and 0.95 of the pairs that differ in DIFFER of all bits."""
+    bits = min(max(math.ceil(math.log2(max(n, 2))) - 3, 8), 48)
+    return bits, math.ceil(math.log(20) / (1 - DIFFER) ** bits)
+
+
+def wide_cells(fps: DataFrame, n: int) -> DataFrame:
+    """(cell, node, w0, ...): a row for each table. A cell is a hash of the table and the bits that it draws."""
+    rng = np.random.default_rng(SEED)
+    bits, tables = tables_for(n)
+    found = []
+    for t in range(tables):
+        masks = [0] * WORDS
+        for at in rng.choice(64 * WORDS, bits, replace=False).tolist():
+            masks[at // 64] |= 1 << at % 64
+        found.append(F.xxhash64(F.lit(t), *[F.col(f"w{i}").bitwiseAND(F.lit(_signed(m)).cast("long")) for i, m in enumerate(masks)]))
+    return fps.select(F.explode(F.array(*found)).alias("cell"), "node", *_words(True))
 
 
 def _segment_counts(fp: np.ndarray) -> np.ndarray:
+    """Two-bit counts of segments of two."""
     return fp - ((fp >> np.uint64(1)) & np.uint64(0x5555555555555555))
 
 
@@ -106,140 +171,280 @@ def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(unary(a) ^ unary(b))
 
 
-def _links(fp: np.ndarray, radius: int, forest: dict[int, int]) -> list[tuple[int, int]]:
-    """Tree edges of the links among the fingerprints of one cell."""
-    out = []
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which fingerprints (rows of words) are within the radius. A single word is held against the Manhattan bound first."""
+    if a.shape[-1] == 1:
+        low = _manhattan(_segment_counts(a[..., 0]), _segment_counts(b[..., 0])) <= radius
+        return low & (np.bitwise_count(a[..., 0] ^ b[..., 0]) <= radius)
+    return _hamming(a, b) <= radius
+
+
+def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    distance = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1], dtype=np.uint16)
+    for i in range(a.shape[-1]):
+        distance += np.bitwise_count(a[..., i] ^ b[..., i])
+    return distance
+
+
+class Forest:
+    """Components of longs, as links come in."""
 
-    def root(x: int) -> int:
-        while forest.setdefault(x, x) != x:
-            forest[x] = forest[forest[x]]
-            x = forest[x]
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
         return x
 
-    counts = _segment_counts(fp)
-    step = max(1, (1 << 22) // max(len(fp), 1))
-    for at in range(0, len(fp), step):
-        rows = slice(at, min(at + step, len(fp)))
-        near = _manhattan(counts[rows, None], counts[None, :]) <= radius
-        near &= np.bitwise_count(fp[rows, None] ^ fp[None, :]) <= radius
-        i, j = np.nonzero(near)
-        later = i + at < j
-        for a, b in zip(fp[i[later] + at].tolist(), fp[j[later]].tolist()):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                forest[max(ra, rb)] = min(ra, rb)
-                out.append((a, b))
+    def join(self, a: int, b: int) -> bool:
+        ra, rb = self.root(a), self.root(b)
+        if ra != rb:
+            self.parent[max(ra, rb)] = min(ra, rb)
+        return ra != rb
+
+
+def _links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Tree edges, as places, of the links among the fingerprints of one cell."""
+    n, out, forest = len(fp), [], Forest()
+    covered = np.zeros(n, dtype=bool)
+
+    def joined(a: int, others: np.ndarray) -> None:
+        out.extend((a, b) for b in others.tolist() if b != a and forest.join(a, b))
+
+    for pivot in range(n):
+        if not covered[pivot]:
+            near = np.flatnonzero(_near(fp[pivot], fp, radius))
+            covered[near] = True
+            joined(pivot, near)
+    label = np.fromiter((forest.root(x) for x in range(n)), dtype=np.int64, count=n)
+    largest = np.bincount(label).argmax() if n else 0
+    for a in np.flatnonzero(label != largest).tolist():  # pivots have met all others; what is left are other members
+        if label[a] != a:
+            joined(a, np.flatnonzero((label != label[a]) & _near(fp[a], fp, radius)))
+    return out
+
+
+def _nearest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """For each fingerprint of a cell its NEAREST nearest ones within the radius, as places."""
+    n, out = len(fp), []
+    step = max(1, (1 << 21) // n)
+    for at in range(0, n, step):
+        distance = _hamming(fp[at : at + step, None], fp[None])
+        distance[np.arange(len(distance)), np.arange(at, at + len(distance))] = 64 * WORDS + 1
+        for _ in range(min(NEAREST, n - 1)):
+            best = distance.argmin(axis=1)
+            here = np.flatnonzero(distance[np.arange(len(best)), best] <= radius)
+            out += zip((here + at).tolist(), best[here].tolist())
+            distance[np.arange(len(best)), best] = 64 * WORDS + 1
     return out
 
 
-def _forest_of_runs(radius: int, keys: int):
-    """For batches sorted by `keys` columns, the last column fp: the tree edges of each run of equal keys."""
+def _forest_of_runs(radius: int, words: int):
+    """For batches (cell, node, words ...) sorted by cell: the tree edges of each cell as (a, b), and (cell, null) for cells above CELL.
+
+    Of wide fingerprints not only the edges of a tree but the candidates that the module's text names.
+    """
+    wide = words > 1
+    short = SMALL if wide else 64
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(columns: list[np.ndarray], fp: np.ndarray) -> list[tuple[int, int]]:
-        """Whole runs only. Short runs are compared by shifts of the whole array, long ones block by block."""
-        n = len(fp)
-        new = np.ones(n, dtype=bool)
-        if n > 1:
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-        start = np.flatnonzero(new)
+    def compare(cell: np.ndarray, node: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+        """Whole cells only. Short ones are compared by shifts of the whole array, long ones one by one."""
+        n = len(cell)
+        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         length = np.diff(np.append(start, n))
         out = []
-        for s, m in zip(start[length > 64].tolist(), length[length > 64].tolist()):
-            out += _links(fp[s : s + m], radius, {})
-        run = np.repeat(np.where(length > 64, -1, np.arange(len(start))), length)
-        counts = _segment_counts(fp)
-        for shift in range(1, int(length[length <= 64].max(initial=0))):
-            same = (run[shift:] == run[:-shift]) & (run[shift:] >= 0)
-            if not same.any():
+        for s, m in zip(start[length > short].tolist(), length[length > short].tolist()):
+            if m > CELL:
+                out.append((int(cell[s]), None))
+                continue
+            here = fp[s : s + m]
+            out += [(int(node[s + a]), int(node[s + b])) for a, b in _links(here, radius) + (_nearest(here, radius) if wide else [])]
+        run = np.repeat(np.where(length > short, -1, np.arange(len(start))), length)
+        for shift in range(1, int(length[length <= short].max(initial=0))):
+            at = np.flatnonzero((run[shift:] == run[:-shift]) & (run[shift:] >= 0))
+            if not len(at):
                 break
-            at = np.flatnonzero(same)
-            at = at[_manhattan(counts[at], counts[at + shift]) <= radius]
-            at = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
-            out += zip(fp[at].tolist(), fp[at + shift].tolist())
+            at = at[_near(fp[at], fp[at + shift], radius)]
+            out += zip(node[at].tolist(), node[at + shift].tolist())
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
-        seen: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while seen.setdefault(x, x) != x:
-                seen[x] = seen[seen[x]]
-                x = seen[x]
-            return x
-
-        def tree(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            """Only links that join what this task has not joined yet."""
-            out = []
-            for a, b in links:
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    seen[max(ra, rb)] = min(ra, rb)
-                    out.append((a, b))
-            if len(seen) > 4_000_000:
-                seen.clear()
-            pairs = np.array(out, dtype=np.uint64).reshape(-1, 2)
-            return pa.record_batch([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], schema=schema)
+        forest, skipped, met = Forest(), None, set()
+
+        def new(a: int, b: int | None) -> bool:
+            """Of wide fingerprints, pairs that this task has not given yet; of others, links that join what it has not joined yet."""
+            if b is None or not wide:
+                return b is None or forest.join(a, b)
+            pair = min(a, b), max(a, b)
+            return pair not in met and not met.add(pair)
+
+        def tree(links: list[tuple[int, int | None]]) -> pa.RecordBatch:
+            out = [x for x in links if new(*x)]
+            if len(forest.parent) + len(met) > SEEN:
+                forest.parent.clear()
+                met.clear()
+            return pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
+
+        def whole(columns: list[np.ndarray]) -> pa.RecordBatch:
+            return tree(compare(columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64)))
 
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if skipped is not None:
+                rest = now[0] != skipped
+                now = [c[rest] for c in now]
             if kept is not None:
                 now = [np.concatenate(x) for x in zip(kept, now)]
-            if not len(now[-1]):
+            if not len(now[0]):
                 continue
-            last = np.logical_and.reduce([c == c[-1] for c in now[:keys]])
-            cut = len(last) - int(last[::-1].argmin()) if not last.all() else 0
+            cut = int(np.searchsorted(now[0], now[0][-1]))
             kept = [c[cut:] for c in now]
             if cut:
-                yield tree(compare([c[:cut] for c in now[:keys]], now[-1][:cut].view(np.uint64)))
-        if kept is not None and len(kept[-1]):
-            yield tree(compare(kept[:keys], kept[-1].view(np.uint64)))
+                yield whole([c[:cut] for c in now])
+            if len(kept[0]) > CELL:
+                skipped, kept = int(kept[0][0]), None
+                yield tree([(skipped, None)])
+        if kept is not None:
+            yield whole(kept)
 
     return run
 
 
+def _across(radius: int):
+    """For batches (cell, i, j, side, node, words ...) sorted by the first four: links between the sides 0 and 1 of each task."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(columns: list[np.ndarray]) -> pa.RecordBatch:
+        side, node = columns[3], columns[4]
+        fp = np.stack(columns[5:], axis=1).view(np.uint64)
+        out, forest = [], Forest()
+        other, names = fp[side == 1], node[side == 1]
+        for x, name in zip(fp[side == 0], node[side == 0].tolist()):
+            out += [(name, b) for b in names[_near(x, other, radius)].tolist() if b != name and forest.join(name, b)]
+        return pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if kept is not None:
+                now = [np.concatenate(x) for x in zip(kept, now)]
+            if not len(now[0]):
+                continue
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:3]])) + 1
+            for a, b in zip([0, *new[:-1].tolist()], new.tolist()):
+                yield compare([c[a:b] for c in now])
+            kept = [c[new[-1] if len(new) else 0 :] for c in now]
+        if kept is not None and len(kept[0]):
+            yield compare(kept)
+
+    return run
+
+
+def _distance(words: list[str], other: Column) -> Column:
+    return sum((F.bit_count(F.col(w).bitwiseXOR(other[w])) for w in words), F.lit(0))
+
+
+def _large_cells(rows: DataFrame, large: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """(a, b): links of cells above CELL. Each cell's least node is its pivot; what it does not link is held against all rows, block by block."""
+    mine = written(rows.join(large, "cell"), "large_cells")
+    pivots = mine.groupBy("cell").agg(F.min(F.struct("node", *words)).alias("p"), F.count(F.lit(1)).alias("n"))
+    held = written(mine.join(pivots, "cell").withColumn("near", _distance(words, F.col("p")) <= radius), "pivots")
+    stars = held.filter("near AND node <> p.node").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+    size = CELL // 2
+    left = held.filter("NOT near").groupBy("cell").agg(F.count(F.lit(1)).alias("r"))
+    dealt = held.join(left, "cell").withColumn("bi", F.ceil(F.col("r") / size)).withColumn("bj", F.ceil(F.col("n") / size))
+    place = F.xxhash64("node")
+    some = dealt.filter("NOT near").select("cell", F.pmod(place, "bi").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bj") - 1)).alias("j"), F.lit(0).alias("side"), "node", *words)
+    every = dealt.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bi") - 1)).alias("i"), F.pmod(place, "bj").alias("j"), F.lit(1).alias("side"), "node", *words)
+    by = ["cell", "i", "j"]
+    tasks = some.unionByName(every).repartition(*by).sortWithinPartitions(*by, "side")
+    return stars.unionByName(map_arrow(tasks, _across(radius), "a long, b long"))
+
+
+def forest(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """(a, b): a spanning forest, cell by cell, of all links among rows (cell, node, words ...)."""
+    dealt = rows.select("cell", "node", *words).repartition("cell").sortWithinPartitions("cell")
+    found = written(map_arrow(dealt, _forest_of_runs(radius, len(words)), "a long, b long"), "links")
+    large = found.filter("b IS NULL").select(F.col("a").alias("cell"))
+    few = found.filter("b IS NOT NULL")
+    return few.unionByName(_large_cells(rows, large, words, radius)) if large.take(1) else few
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): a spanning forest, cell by cell, of all links between distinct fingerprints `fp`."""
-    n = fps.count()
-    rows = cells(fps, radius, grid_groups(n, radius))
-    large = written(rows.groupBy("choice", "cell").count().filter(F.col("count") > CELL), "large_cells")
-    few = rows
-    found = None
-    if large.take(1):
-        few = rows.join(large, ["choice", "cell"], "left_anti")
-        blocks = F.ceil(F.col("count") / (CELL // 2))
-        own = rows.join(large, ["choice", "cell"]).withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
-        tasks = own.select("choice", "cell", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"), "fp").select(
-            "choice", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
-        )
-        by = ["choice", "cell", "i", "j"]
-        found = map_arrow(tasks.repartition(*by).sortWithinPartitions(*by), _forest_of_runs(radius, 4), "a long, b long")
-    by = ["choice", "cell"]
-    out = map_arrow(few.repartition(*by).sortWithinPartitions(*by), _forest_of_runs(radius, 2), "a long, b long")
-    return out if found is None else out.unionByName(found)
+    """(a, b): links between distinct fingerprints `fp` that join all that are within the radius, directly or by others."""
+    rows = cells(fps, radius, grid_groups(fps.count(), radius))
+    return forest(rows.withColumn("node", F.col("fp")), ["fp"], radius)
 
 
 def near_groups(docs: DataFrame, radius: int = 4, words_in_shingle: int = 4, *more: str) -> DataFrame:
-    """(doc_id, *more, fp, component_id) for every row of docs."""
+    """(doc_id, *more, fp, component_id) for every row of docs: fingerprints within the radius are linked, none is lost."""
     rows = written(fingerprints(docs, words_in_shingle, *more), "fingerprints")
-    firsts = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "firsts")
-    found = components(links(firsts.select("fp"), radius))
-    labelled = firsts.join(found, firsts.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    names = written(labelled.join(least, "component").select("fp", "component_id"), "component_ids")
-    return rows.join(names, "fp").select("doc_id", *more, "fp", "component_id")
+    firsts = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.col("fp")), "firsts")
+    return rows.join(_named(firsts, links(firsts.select("fp"), radius), ["fp"]), "fp").select("doc_id", *more, "fp", "component_id")
+
+
+def similar_groups(docs: DataFrame, row: str, words_in_shingle: int = 5, least: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
+    """(row, doc_id, component_id) for every row of docs, named by the column `row`: texts whose shingle sets have a Jaccard similarity of `least` are linked."""
+    words = _words(True)
+    rows = written(fingerprints(docs, words_in_shingle, row, wide=True), "fingerprints")
+    firsts = written(rows.groupBy(*words).agg(F.min("doc_id").alias("first_id"), F.min(row).alias("node")), "firsts")
+    found = forest(wide_cells(firsts, firsts.count()), words, limit)
+    pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    linked = verified(docs, row, pairs, words_in_shingle, least)
+    return rows.join(_named(firsts, linked, words), words).select(row, "doc_id", "component_id")
+
 
+def verified(docs: DataFrame, row: str, pairs: DataFrame, words_in_shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets (as 32-bit hashes) have a Jaccard similarity of `least` or more."""
 
-def near_dedup(docs: DataFrame, radius: int = 4, words_in_shingle: int = 4) -> DataFrame:
-    """The rows of docs, one document of each group: the one with the smallest doc_id.
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(x.as_py() or b"", words_in_shingle).astype("<u4")).tobytes() for x in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), dtype="<u4"), np.frombuffer(y.as_py(), dtype="<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= least * (len(x) + len(y) - both))
+            yield pa.record_batch([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    texts = docs.select(F.col(row).alias("a"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).join(named, "a", "left_semi")
+    known = written(map_arrow(texts, sets, "node long, shingles binary"), "shingle_sets")
+    one = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = one.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long")
+
+
+def _named(firsts: DataFrame, found: DataFrame, words: list[str]) -> DataFrame:
+    """(words, component_id) of all distinct fingerprints. Fingerprints that link to none are their own component and need no
+    aggregation; a large component's least id is one partial aggregation, and comes back through a join that can be split."""
+    labels = written(components(found), "labels")
+    linked = written(firsts.join(labels, firsts.node == labels.node).select(*words, "first_id", "component"), "linked")
+    least = written(linked.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    alone = firsts.join(labels.select("node"), "node", "left_anti").select(*words, F.col("first_id").alias("component_id"))
+    return written(alone.unionByName(linked.join(least, "component").select(*words, "component_id")), "component_ids")
+
+
+def near_dedup(docs: DataFrame, words_in_shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, one document of each group of similar texts: the one with the smallest doc_id.
 
     Rows without a doc_id are kept, as they cannot be named. Rows go one by one: of repeated doc_ids all rows of the kept
     id in the group stay, and so does a row whose text is unlike that of a dropped row of its doc_id.
     """
-    rows = written(docs.withColumn("_mr_row", F.monotonically_increasing_id()), "near_rows")
-    gone = near_groups(rows, radius, words_in_shingle, "_mr_row").filter("doc_id <> component_id").select("_mr_row")
-    return without(rows, gone, "_mr_row").select(*docs.columns)
+    row = free(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near_rows")
+    gone = similar_groups(rows, row, words_in_shingle, least).filter("doc_id <> component_id").select(row)
+    return without(rows, gone, row).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
