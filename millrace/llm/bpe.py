@@ -19,6 +19,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import map_arrow, slices, table
 from .kept import Kept, slice_ids
 
-#: Words, and as many pieces between spaces, kept in each generation in each worker.
-WORDS = 150_000
+#: Words, and as many pieces between spaces, kept in each worker.
+WORDS = 500_000
+#: Bytes of text encoded at a time.
+SLICE = 8 << 20
 #: Pairs of tokens kept.
 PAIRS = 1_000_000
 
@@ -95,7 +98,7 @@ class Codec:
             self.sound[z] &= self.sound[self.left[z]] and self.sound[self.right[z]]
         self.pairs: dict[int, bool] = {}
         self.words = Kept(WORDS, self._encode_words)
-        self.pieces = Kept(WORDS, lambda pieces: self.words.joined([self._cut_piece(p) for p in pieces]))
+        self.pieces = Kept(WORDS, self._encode_pieces)
         # The vocabulary's own pattern, for Latin-1 without its superscripts and fractions.
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
         self.odd = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
@@ -186,8 +189,8 @@ class Codec:
                     heapq.heappush(heap, (found[0], k))
         return [p for p in piece if p >= 0]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Of distinct words."""
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words: all ids end to end, and how many each word has."""
         raw = [w.encode() for w in words]
         proposed = [self.propose(w) for w in raw]
         lengths = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
@@ -207,10 +210,17 @@ class Codec:
         if len(keys):
             crossed = np.array([self.pairs[k] for k in distinct.tolist()], dtype=bool)
             wrong[of[1:][inside][crossed[back]]] = True
-        return [array("I", self.merge(r) if x else p).tobytes() for r, x, p in zip(raw, wrong.tolist(), proposed)]
+        if not wrong.any():
+            return ids.astype("<u4"), lengths
+        exact = [self.merge(r) if x else p for r, x, p in zip(raw, wrong.tolist(), proposed)]
+        return np.fromiter(chain.from_iterable(exact), dtype="<u4"), np.fromiter(map(len, exact), dtype=np.int64, count=len(exact))
 
-    def _cut_piece(self, piece: str) -> list[str]:
-        return self.cut.findall(f" {piece}")
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, ends = self._joined([self.cut.findall(f" {p}") for p in pieces])
+        return ids, np.diff(ends, prepend=0)
+
+    def _joined(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        return self.words.joined(list(chain.from_iterable(cut)), np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)))
 
     def cut_words(self, text: str) -> list[str]:
         if self.odd.search(text):
@@ -226,11 +236,12 @@ class Codec:
 
     def _special_batch(self, text: str) -> bytes:
         """A text with special tokens' strings in it."""
+        encoded = lambda part: self._joined([self.cut_words(part)])[0].tobytes()
         out, at = [], 0
         for m in self.cut_special.finditer(text):
-            out += [*self.words.joined([self.cut_words(text[at : m.start()])]), array("I", [self.special[m[0]]]).tobytes()]
+            out += [encoded(text[at : m.start()]), array("I", [self.special[m[0]]]).tobytes()]
             at = m.end()
-        return b"".join([*out, *self.words.joined([self.cut_words(text[at:])])])
+        return b"".join([*out, encoded(text[at:])])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
@@ -243,7 +254,7 @@ class Codec:
         at = [t.find(" ") if p else -1 for t, p in zip(texts, plain)]
         heads = [[] if s else self.cut.findall(t[:i] if i >= 0 else t) if p else self.cut_words(t) for t, i, p, s in zip(texts, at, plain, special)]
         rest = pa.array([t[i + 1 :] if i >= 0 else None for t, i in zip(texts, at)], pa.string())
-        out = [a + b for a, b in zip(self.words.joined(heads), slice_ids(*self.pieces.ids(pc.split_pattern(rest, " "))))]
+        out = [a + b for a, b in zip(slice_ids(*self._joined(heads)), slice_ids(*self.pieces.lists(pc.split_pattern(rest, " "))))]
         for i, s in enumerate(special):
             if s:
                 out[i] = self._special_batch(texts[i])
@@ -259,7 +270,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 ids = codec.encode_batch([t or "" for t in part.column(1).to_pylist()])
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -285,7 +296,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 ids = codec.encode_batch([t or "" for t in part.column(1).to_pylist()])
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.string())], names=["doc_id", "ids", "text"])
 

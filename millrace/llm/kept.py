@@ -1,65 +1,77 @@
-"""Token ids of texts put together from results kept by word, in bounded memory and mostly on arrays."""
+"""Token ids of texts put together from results kept by word, in bounded memory and on arrays."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
+#: Of distinct words: their ids end to end, and how many ids each word has.
+Learn = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
 
 class Kept:
-    """Two generations of results: when the young one is full it becomes the old one, and what is met again moves up.
+    """Words met so far as one Arrow array, with their ids in flat arrays beside it.
 
-    So words that are common stay, and at most about twice `most` results are held.
+    A dictionary encoding of the words at hand, and one of the words kept and these, finds what is repeated, known and new. Above `most`
+    words only those of the last call stay, so that common words stay and memory is bounded by `most` and one call's words.
     """
 
-    def __init__(self, most: int, learn: Callable[[list[str]], Iterable[bytes]]):
+    def __init__(self, most: int, learn: Learn):
         self.most, self.learn = most, learn
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def of(self, words: list[str]) -> list[bytes]:
-        """The result of each of these distinct words."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        found = list(map(young.get, words))
-        if None not in found:
-            return found
-        new = []
-        for w, p in zip(words, found):
-            if p is None:
-                if (p := old.get(w)) is None:
-                    new.append(w)
-                else:
-                    young[w] = p
-        if new:
-            young.update(zip(new, self.learn(new)))
-        return [young[w] if p is None else p for w, p in zip(words, found)]
-
-    def joined(self, cut: list[list[str]]) -> list[bytes]:
-        """For each list of words its results end to end."""
-        distinct = list({w for words in cut for w in words})
-        known = dict(zip(distinct, self.of(distinct)))
-        return [b"".join([known[w] for w in words]) for words in cut]
-
-    def ids(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """For lists of words, of less than 2^31 ids together: all results as ids end to end, and where each list's ids end."""
-        coded = pieces.flatten().dictionary_encode()
-        results = self.of(coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        whole = np.frombuffer(b"".join(results), dtype="<u4")
-        size = np.fromiter(map(len, results), dtype=np.int32, count=len(results)) // 4
-        start = np.cumsum(size, dtype=np.int32) - size
-        sizes = size[at]
-        ends = np.cumsum(sizes)
-        place = np.repeat(start[at] - (ends - sizes).astype(np.int32), sizes)
+        self.words = pa.array([], pa.string())
+        self._set(np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int32))
+
+    def _set(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.sizes = ids, sizes
+        self.starts = np.cumsum(sizes, dtype=np.int32) - sizes
+
+    def of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, in their order, end to end (less than 2^31), and where each word's ids end."""
+        here = words.dictionary_encode()
+        coded = pa.concat_arrays([self.words, here.dictionary]).dictionary_encode()
+        every, at = coded.dictionary, coded.indices.to_numpy()[len(self.words) :][here.indices.to_numpy()]
+        if len(every) > len(self.words):
+            ids, sizes = self.learn(every.slice(len(self.words)).to_pylist())
+            self._set(np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes.astype(np.int32)]))
+            self.words = every
+        out = self._gathered(at)
+        if len(self.words) > self.most:
+            used = np.unique(at)
+            flat, _ = self._gathered(used)
+            self.words = self.words.take(pa.array(used))
+            self._set(flat, self.sizes[used])
+        return out
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        place = np.repeat(self.starts[at] - (ends - sizes).astype(np.int32), sizes)
         place += np.arange(len(place), dtype=np.int32)
-        offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        return whole[place], np.concatenate([[0], ends])[offsets[1:]]
+        return self.flat[place], ends
+
+    def joined(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For lists of words, laid end to end and `counts` long: their ids, and where each list's ids end."""
+        ids, ends = self.of(pa.array(words, pa.string()))
+        return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
+
+    def lists(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """As `joined`, of an Arrow array of lists."""
+        ids, ends = self.of(words.flatten())
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return ids, np.concatenate([[0], ends])[offsets[1:]]
 
 
 def slice_ids(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     raw = ids.tobytes()
     return [raw[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
+def segments(text: str, most: int, space) -> list[str]:
+    """A text cut before white space (a compiled pattern) into parts of about `most` characters; a longer word stays whole."""
+    out, at = [], 0
+    while len(text) - at > most and (m := space.search(text, at + most)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]

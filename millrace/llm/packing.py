@@ -17,7 +17,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import map_arrow, slices, table, written
-from .kept import Kept, slice_ids
+from .kept import Kept, segments, slice_ids
 
 LENGTH = 4096
 OPEN = 32
 LEAST_CUT = 16
 MERGED = 64
-#: Words, and as many pieces between white space, kept in each generation in each worker.
-WORDS = 200_000
+#: Words, and as many pieces between white space, kept in each worker.
+WORDS = 600_000
 
 #: Bytes of text tokenised at a time: the more, the fewer lookups of words that repeat.
-SLICE = 4 << 20
+SLICE = 16 << 20
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
@@ -77,28 +79,44 @@ class WordTokenizer:
         # The vocabulary's own pattern, for Latin-1 without its superscripts and fractions.
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
         self.odd = re.compile("[^\x09-\x0d\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
+        self.space = re.compile(r"[\x09-\x0d\x20]")
         self.words = Kept(WORDS, self._encode_words)
-        self.pieces = Kept(WORDS, lambda pieces: self.words.joined([self.cut.findall(p) for p in pieces]))
+        self.pieces = Kept(WORDS, self._encode_pieces)
 
-    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = list(map(self.cut.findall, pieces))
+        counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        ids, ends = self.words.joined(list(chain.from_iterable(cut)), counts)
+        return ids, np.diff(ends, prepend=0)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many words at a time as one text: white space separates them, and a word's last token is one that ends words."""
         parts = [words[at : at + 500] for at in range(0, len(words), 500)]
+        ids, sizes = [], []
         for at in range(0, len(parts), 40):
             some = parts[at : at + 40]
             for part, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(p) for p in some], add_special_tokens=False)):
-                ids = array("I", e.ids)
-                ends = (np.flatnonzero(self.last[np.frombuffer(ids, dtype="<u4")]) + 1).tolist()
+                found = np.array(e.ids, dtype="<u4")
+                ends = np.flatnonzero(self.last[found]) + 1
                 if len(ends) == len(part):
-                    raw = ids.tobytes()
-                    yield from (raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends))
+                    ids.append(found)
+                    sizes.append(np.diff(ends, prepend=0))
                 else:
-                    yield from (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(part, add_special_tokens=False))
+                    each = [x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+                    ids.append(np.fromiter(chain.from_iterable(each), dtype="<u4"))
+                    sizes.append(np.fromiter(map(len, each), dtype=np.int64, count=len(each)))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         plain = [not self.odd.search(t) and not any(s in t for s in self.special) for t in texts]
-        lower = pc.utf8_lower(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.string()))
-        out = slice_ids(*self.pieces.ids(pc.utf8_split_whitespace(lower)))
+        parts = [segments(t, SLICE, self.space) if p else [""] for t, p in zip(texts, plain)]
+        if all(len(p) == 1 for p in parts):
+            lower = pc.utf8_lower(pa.array([p[0] for p in parts], pa.string()))
+            out = slice_ids(*self.pieces.lists(pc.utf8_split_whitespace(lower)))
+        else:
+            one = lambda t: self.pieces.lists(pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t], pa.string()))))[0].tobytes()
+            out = [b"".join(map(one, p)) for p in parts]
         for i, p in enumerate(plain):
             if not p:
                 out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
@@ -106,7 +124,10 @@ class WordTokenizer:
 
 
 class Packer:
-    """The open windows of one partition. A window is [fill, pieces]; a piece is (doc_id, start, ids, doc_tokens)."""
+    """The open windows of one partition. A window is [fill, pieces]; a piece is (doc_id, start, ids, doc_tokens).
+
+    Open windows are kept sorted by fill: best fit and the fullest are found by bisection and at the end.
+    """
 
     def __init__(self, length: int = LENGTH, open_windows: int = OPEN, least_cut: int = LEAST_CUT):
         self.length, self.most, self.least = length, open_windows, least_cut
@@ -114,35 +135,44 @@ class Packer:
         self.done: list[list] = []
 
     def _put(self, window: list, doc_id, start: int, end: int, ids: bytes, n: int) -> None:
+        """Into a window that is not among the open ones; it joins them unless it is full."""
         window[1].append((doc_id, start, ids[4 * start : 4 * end], n))
         window[0] += end - start
         if window[0] == self.length:
-            self.open = [w for w in self.open if w is not window]
             self.done.append(window)
+        else:
+            insort(self.open, window, key=_fill)
 
-    def add(self, doc_id, ids: bytes) -> None:
-        n, at = len(ids) // 4, 0
+    def add(self, doc_id, ids: bytes, end: bytes = b"") -> None:
+        """A document; `end`, if given, is the id laid behind its last one."""
+        n, at = (len(ids) + len(end)) // 4, 0
         while n - at >= self.length:
+            if n - at == self.length:
+                ids, end = ids + end, b""
             self._put([0, []], doc_id, at, at + self.length, ids, n)
             at += self.length
+        ids += end
         while at < n:
-            fits = [w for w in self.open if w[0] + n - at <= self.length]
-            if fits:
-                self._put(max(fits, key=lambda w: w[0]), doc_id, at, n, ids, n)
+            best = bisect_right(self.open, self.length - (n - at), key=_fill) - 1
+            if best >= 0:
+                self._put(self.open.pop(best), doc_id, at, n, ids, n)
                 return
             if len(self.open) < self.most:
-                self.open.append([0, []])
-                continue
-            fullest = max(self.open, key=lambda w: w[0])
+                self._put([0, []], doc_id, at, n, ids, n)
+                return
+            fullest = self.open.pop()
             gap = self.length - fullest[0]
             if gap >= self.least:
                 self._put(fullest, doc_id, at, at + gap, ids, n)
                 at += gap
             else:
-                self.open = [w for w in self.open if w is not fullest]
                 self.done.append(fullest)
 
 
+def _fill(window: list) -> int:
+    return window[0]
+
+
 def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, open_windows: int = OPEN, least_cut: int = LEAST_CUT) -> DataFrame:
     """Pieces: doc_id, start, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
@@ -170,7 +200,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, open
         for batch in batches:
             for part in slices(batch, 1, SLICE):
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode_batch([t or "" for t in part.column(1).to_pylist()])):
-                    packer.add(doc_id, ids + end)
+                    packer.add(doc_id, ids, end)
                 if packer.done:
                     yield emit(packer.done, False)
                     packer.done = []
