@@ -13,22 +13,53 @@ import public_tokenizers as P
 from millrace.llm import bpe, exact_dedup, html_extract, media, packing, pii, quality, secrets, sharding, simhash_dedup, trigrams
 from millrace.llm.components import components
 
-from .fixtures import clashing, edge_docs
+from .fixtures import clashing, edge_docs, shingles
 
 
 def test_index_outlives_its_session_objects(spark):
     docs = spark.createDataFrame([(1, "a  b"), (2, "c"), (5, "a b")], "doc_id long, text string")
-    index = exact_dedup.DigestIndex(spark, buckets=3)
-    exact_dedup.annotate(docs, index)
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    exact_dedup.annotate(docs, index, 1)
     index.close()
     again = exact_dedup.DigestIndex(spark, index.folder)
-    assert len(again.runs) == 1 and again.buckets == 3
-    more = spark.createDataFrame([(9, "c"), (7, "new"), (8, "new")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.annotate(more, again).collect()}
-    assert got == {9: (2, False), 7: (7, True), 8: (7, False)}
-    assert again.read().count() == 3
-    plan = again.fresh(exact_dedup.groups_of(more.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest"))))._jdf.queryExecution().toString()
+    assert len(again.runs) == 1 and again.buckets == 4
+    more = spark.createDataFrame([(9, "c"), (7, "new"), (8, "new"), (0, "a b")], "doc_id long, text string")
+    groups = exact_dedup.groups_of(more.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest")))
+    plan = again.fresh(groups)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    right = plan[plan.index("FileScan parquet spark_catalog") - 400 : plan.index("FileScan parquet spark_catalog")]
+    assert "Exchange" not in right and "Bucketed: true" in plan  # the run is read as it lies
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.annotate(more, again).collect()}
+    assert got == {9: (2, 2, False), 7: (7, 2, True), 8: (7, 2, False), 0: (0, 3, True)}
+    assert again.read().count() == 3
+    again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(again.name)]
+
+
+def test_index_over_many_appends(spark, monkeypatch):
+    """Runs are merged, and groups are those of all rows ever appended."""
+    monkeypatch.setattr(exact_dedup, "RUNS", 2)
+    index, rng, every = exact_dedup.DigestIndex(spark, buckets=4), random.Random(2), []
+    for i in range(5):
+        rows = [(100 * i + j, f"text {rng.randint(0, 12)}") for j in range(10)]
+        every += rows
+        exact_dedup.annotate(spark.createDataFrame(rows, "doc_id long, text string"), index, 1)
+    want = {}
+    for i, t in every:
+        want.setdefault(t, []).append(i)
+    again = exact_dedup.DigestIndex(spark, index.folder)
+    for x in (index, again):
+        assert sorted((r["keep_id"], r["group_size"]) for r in x.read().collect()) == sorted((min(v), len(v)) for v in want.values())
+    assert len(index.runs) <= 2
+    index.close()
+
+
+def test_dedup_against_an_index_with_earlier_rows(spark):
+    index = exact_dedup.DigestIndex(spark)
+    exact_dedup.annotate(spark.createDataFrame([(1, "a"), (9, "b")], "doc_id long, text string"), index)
+    docs = spark.createDataFrame([(2, "a"), (3, "b"), (4, "c"), (5, "c")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in exact_dedup.dedup(docs, index).collect()) == [3, 4]
+    index.close()
 
 
 def test_dedup_keeps_one_row_of_each_text(spark):
@@ -69,6 +100,23 @@ def test_near_dedup_keeps_rows_without_id(spark):
     assert out.filter("doc_id IS NULL").count() == 2 and out.filter("doc_id IN (1, 2, 3)").count() == 1
 
 
+def taken(df):
+    """With columns of the very names that the stages would give their own, in another case too."""
+    for c in ("_row", "_digest", "_spans", "_score", "__ROW"):
+        df = df.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    return df
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    docs = taken(spark.createDataFrame([(i, f"text number {i % 7} with some words to write to a{i % 7}@b.com") for i in range(30)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    for stage in (lambda d: quality.keep_good(d, labels, 0.0), exact_dedup.dedup, simhash_dedup.near_dedup, pii.mask):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in ("_row", "_digest", "_spans", "_score", "__ROW"))
+
+
 def test_near_dedup_drops_rows_not_ids(spark):
     docs = spark.createDataFrame([(1, "one two three four five"), (2, "One two  three four five"), (2, "quite another text of its own"), (3, "a third")], "doc_id long, text string")
     left = simhash_dedup.near_dedup(docs).collect()
@@ -90,7 +138,7 @@ def test_cells_lose_no_pair(spark, groups):
     rows = simhash_dedup.cells(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, groups).collect()
     at = {}
     for r in rows:
-        at.setdefault((r["choice"], r["cell"]), set()).add(r["fp"] & (1 << 64) - 1)
+        at.setdefault(r["cell"], set()).add(r["fp"] & (1 << 64) - 1)
     together = {(a, b) for g in at.values() for a in g for b in g if a < b}
     order = sorted(fps)
     assert all((a, b) in together for i, a in enumerate(order) for b in order[i + 1 :] if (a ^ b).bit_count() <= 4)
@@ -108,6 +156,58 @@ def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
     assert len({label[f] for f in fps}) == 1 and all((r["a"] ^ r["b"]).bit_count() <= 4 for r in found)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_links_of_a_cell_join_what_all_pairs_join(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    fp = base[rng.integers(0, 4, 90)]
+    for _ in range(1 + seed):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 63, 90).astype(np.uint64))
+    fp = np.unique(fp)
+    found, want = simhash_dedup.Forest(), simhash_dedup.Forest()
+    for a, b in simhash_dedup._links(fp[:, None], 4):
+        assert int(np.bitwise_count(fp[a] ^ fp[b])) <= 4 and found.join(a, b)
+    for a in range(len(fp)):
+        for b in range(a):
+            if int(np.bitwise_count(fp[a] ^ fp[b])) <= 4:
+                want.join(a, b)
+    assert all((found.root(a) == found.root(b)) == (want.root(a) == want.root(b)) for a in range(len(fp)) for b in range(a))
+
+
+def near_copies(seed=4, n=60):
+    """Texts, and copies of each with some words changed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7)))
+    out = []
+    for i in range(n):
+        words = [word() for _ in range(rng.choice([40, 120, 300, 1500]))]
+        for copy in range(4):
+            changed = list(words)
+            for _ in range(copy * len(words) // 150):
+                changed[rng.randrange(len(words))] = word()
+            out.append((4 * i + copy, " ".join(changed)))
+    return out
+
+
+@pytest.mark.parametrize("cell", [8192, 2])
+def test_near_dedup_finds_similar_texts(spark, monkeypatch, cell):
+    """Against all pairs: nothing below 0.8 is dropped, and at least 0.9 of what is to be dropped is. With tiny cells, by pivots and blocks."""
+    monkeypatch.setattr(simhash_dedup, "CELL", cell)
+    if cell == 2:
+        monkeypatch.setattr(simhash_dedup, "SMALL", 1)
+    rows = near_copies(n=60 if cell > 2 else 12)
+    sets = [shingles(t) for _, t in rows]
+    forest = simhash_dedup.Forest()
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                forest.join(a, b)
+    want = {i for i in range(len(rows)) if forest.root(i) != i}
+    left = {r["doc_id"] for r in simhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = set(range(len(rows))) - left
+    assert gone <= want and len(gone) >= 0.9 * len(want) > 10
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 1 << 63, 2000, dtype=np.uint64), rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
@@ -150,8 +250,40 @@ def test_speculation_is_verified(codec):
     words = [w for w in words if w]
     wrong = sum(codec.propose(w.encode()) != codec.merge(w.encode()) for w in words)
     assert wrong > 0
-    for w, ids in zip(words, codec._encode_words(words)):
-        assert np.frombuffer(ids, "<u4").tolist() == codec.merge(w.encode())
+    ids, sizes = codec._encode_words(words)
+    for w, found in zip(words, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert found.tolist() == codec.merge(w.encode())
+
+
+def test_kept_results_stay_right_when_words_are_dropped():
+    import pyarrow as pa
+
+    from millrace.llm.kept import Kept, segments
+
+    learnt = []
+
+    def learn(words):
+        learnt.extend(words)
+        return np.array([ord(c) for w in words for c in w], dtype="<u4"), np.array([len(w) for w in words])
+
+    kept, rng = Kept(20, learn), random.Random(5)
+    for _ in range(60):
+        words = ["".join(rng.choices("abc", k=rng.randint(0, 3))) for _ in range(rng.randint(0, 30))]
+        ids, ends = kept.of(pa.array(words, pa.string()))
+        assert ids.tolist() == [ord(c) for w in words for c in w] and ends.tolist() == np.cumsum([len(w) for w in words]).tolist()
+        assert len(kept.words) <= 20 + 30
+    assert len(learnt) > 40
+    import re
+
+    text = "ab " * 50 + "c" * 80 + " d"
+    assert "".join(segments(text, 10, re.compile(" "))) == text and max(map(len, segments(text, 10, re.compile(" ")))) < 100
+
+
+def test_long_texts_are_tokenised_in_segments(monkeypatch):
+    t = packing.WordTokenizer.of(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "SLICE", 20)
+    texts = ["The quick, brown fox's tail isn't  here\n" * 30, "", "x" * 100 + " y"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in t.encode_batch(texts)] == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_encode_and_decode_frames(spark):
@@ -204,13 +336,33 @@ def test_ring_plan_fills_exactly(counts, shards):
         assert [x for low, high in parts for x in range(low, high)] == list(range(n))
 
 
-def test_one_more_shard_moves_little(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 8, slack=0.25).collect()}
-    after = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 9, slack=0.25).collect()}
-    sizes = np.bincount(list(before.values()), minlength=8)
-    assert sizes.max() <= -(-len(before) * 1.25 // 8)
-    assert sum(before[i] != after[i] for i in before) < 0.45 * len(before)
+def test_one_more_shard_moves_little(spark):
+    """With the query's own parameters: from 24 to 25 shards one row in 25 must move; no more than three times that does."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6000)], "doc_id long, text string")
+    before = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 24).collect()}
+    after = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 25).collect()}
+    assert max(np.bincount(list(after.values()))) - min(np.bincount(list(after.values()))) <= 1
+    assert sum(before[i] != after[i] for i in before) < 0.12 * len(before)
+
+
+def test_rows_that_nothing_tells_apart_are_dealt_to_many_tasks(spark, monkeypatch):
+    seen = []
+    before = sharding.written
+
+    def counted(df, what):
+        out = before(df, what)
+        seen.append([r["count"] for r in out.groupBy(F.input_file_name()).count().collect()])
+        return out
+
+    monkeypatch.setattr(sharding, "written", counted)
+    docs = spark.createDataFrame([(None, "the same")] * 4000, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = sharding.assign(docs, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(np.bincount([r["shard"] for r in rows]).tolist()) == [800] * 5
+    assert len(seen[0]) > 1 and max(seen[0]) < 3000
 
 
 def test_trigram_queries():
@@ -250,6 +402,79 @@ def test_pii_model_learns_who_is_reliable(spark):
     assert spans[0] == ["email", "ip"] and "ssn" in spans[100]
 
 
+def test_pii_classifier_decides_further_kinds(spark):
+    """Labelled spans of the further kinds, none of which the base rules take: context and form decide."""
+    rng = random.Random(6)
+    good, bad = [], []
+    for i in range(120):
+        n = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+        good.append((i, rng.choice(["my social security number is ", "her ssn: ", "reach the account of ", "ssn and address "]) + n))
+        odd = f"{rng.choice(['000', '666', '912', '987'])}-{rng.choice(['00', '31'])}-{rng.randint(1000, 9999)}"
+        bad.append((1000 + i, rng.choice(["see part number ", "order ", "invoice ", "serial of the build "]) + odd))
+    rows = good + bad
+    rng.shuffle(rows)
+    found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = sum(bool(found[i]) == (i < 1000) for i in found)
+    assert right / len(found) > 0.95 and all(0 <= s["score"] <= 1 for v in found.values() for s in v)
+
+
+def plainly_masked(text, spans):
+    out, at = [], 0
+    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_spans_and_masks_against_plain_versions(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        parts = [rng.choice(["a@b.com", "10.0.0.1", "4111 1111 1111 1111", "+49 30 1234567", "00:1B:44:11:3A:B7", "212-555-0199", "é 😀 ", "word ", "@", "x" * 700]) for _ in range(rng.randint(0, 150))]
+        rows.append((i, "".join(p + rng.choice([" ", "", ", ", "\n"]) for p in parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in pii.find(docs).collect()}
+    after = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
+    assert all(after[i] == plainly_masked(t, spans[i]) for i, t in rows) and max(map(len, spans.values())) > 64
+    from millrace.llm import spans as S
+
+    import re
+
+    got = docs.select("doc_id", S.matches(F.col("text"), "[a-z]+@", 5).alias("m")).collect()
+    text = dict(rows)
+    for r in got:
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer("[a-z]+@", text[r["doc_id"]])]
+        assert [(s["start"], s["end"], s["found"]) for s in r["m"]] == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 128, 5000])
+def test_running_sums(spark, n):
+    from millrace.llm import spans as S
+
+    values = [(i * 7) % 13 - 3 for i in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<long>").select(S.running(F.col("v"), lambda a, b: a + b).alias("s"), S.running(F.col("v"), S.larger, -9).alias("m"))
+    r = df.first()
+    assert r["s"] == np.cumsum(values, dtype=int).tolist() and r["m"] == (np.maximum.accumulate(values).tolist() if n else [])
+
+
+def test_texts_full_of_spans_take_linear_time(spark):
+    """2 MB of hashes and of addresses, in one row each. Time is at most in proportion, so ten times as much takes minutes, not days."""
+    import hashlib
+    import time
+
+    hashes = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(60_000))
+    mails = " ".join(f"user{i}@mail{i % 9}.example.com" for i in range(80_000))
+    for text, run, kind, n in ((hashes, secrets.scan, "hex", 60_000), (mails, pii.find, "email", 80_000)):
+        began = time.time()
+        found = run(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("spans").first()["spans"]
+        assert len(found) == n and {s["kind"] for s in found} == {kind} and all(found[i]["end"] < found[i + 1]["start"] for i in range(0, n - 1, 997))
+        assert time.time() - began < 100
+    began = time.time()
+    out = pii.mask(spark.createDataFrame([(1, mails)], "doc_id long, text string")).first()["text"]
+    assert out == " ".join(["<EMAIL>"] * 80_000) and time.time() - began < 100
+
+
 def test_masking(spark):
     docs = clashing(spark.createDataFrame([(1, "é mail a@b.com, é 10.0.0.1!"), (2, "clean"), (3, None), (4, "")], "doc_id long, text string")).withColumn("n_chars", F.lit(99).cast("long"))
     out = pii.mask(docs)
@@ -285,10 +510,206 @@ def test_template_subtrees_go_and_content_stays():
     assert html_extract.main_text(top, set()) == "bar\na" and html_extract.main_text(top, {bar.digest}) == "a"
     again = html_extract.parse("<article><p>a</p></article>")
     p = again.children[0].children[0]
-    assert p.digest not in html_extract.subtrees(again) and html_extract.main_text(again, {p.digest}) == "a"
-
-
-def test_templates_by_salted_join(spark, monkeypatch):
+    assert p.digest not in {x[0] for x in html_extract.subtrees(again)} and html_extract.main_text(again, {p.digest}) == "a"
+
+
+MAIN = [
+    ('<div class="content no-sidebar"><p>Main', "Main"),
+    ('<div class="post has-comments"><p>Main</p></div>', "Main"),
+    ('<article><p class="related-work">a</p><p class="notice-period">b</p><h2 id="market-share">c</h2><h2 id="subscription-model">d</h2></article>', "a\nb\nc\nd"),
+    ('<article><p title="The hidden valley">Two</p><a href="/x/hidden/page">the valley</a><div data-hidden="false">e</div></article>', "Two\nthe valley\ne"),
+    ('<article><p>Body is this.</p></article><article class="comment-body">Reader says</article>', "Body is this."),
+    ('<div><p>The story is in this div and it is long.</p></div><article>teaser</article>', "The story is in this div and it is long.\nteaser"),
+    ('<div class="site-footer">f</div><div class="comments-area">many words of readers, more than the story</div><p>Story</p>', "Story"),
+    ('<div class="sidebar"><p>the whole text is here</p></div>', "the whole text is here"),
+    ('<div class="modal overlay"><article><p>in a frame</p></article></div>', "in a frame"),
+    ("<article><header><h1>T</h1></header><p>x</p></article><header>h</header>", "T\nx"),
+]
+
+
+@pytest.mark.parametrize("page, text", MAIN)
+def test_main_text_of(page, text):
+    assert html_extract.main_text(html_extract.parse(page), set()) == text
+
+
+def test_parsing_takes_linear_time():
+    import time
+
+    for page in ("<b>" * 40_000 + "x</i>" * 40_000, "<p><td>" + "<b>" * 40_000 + "<hr>" * 40_000 + "</section>" * 40_000, "<ul><li>" + "<b>" * 40_000 + "<li>" * 40_000):
+        began = time.process_time()
+        html_extract.parse(page)
+        assert time.process_time() - began < 10
+
+
+class Plain:
+    """The template rule once more, on another parser and plain recursion, for pages that close all their elements."""
+
+    def __init__(self, pages):
+        from collections import defaultdict
+
+        self.trees = [(host, self.tree(html)) for host, html in pages]
+        distinct = defaultdict(dict)
+        for host, t in self.trees:
+            distinct[host][repr(t)] = t
+        self.known = {}
+        for host, pages in distinct.items():
+            exact, shape, n = defaultdict(list), defaultdict(list), len(pages)
+            for t in pages.values():
+                mine = {}
+                self.walk(t, False, (), self.size(t)[0], mine)
+                for (sub, place), x in mine.items():
+                    exact[sub].append(x[0])
+                    if place is not None:
+                        shape[place].append((sub, *x[1:]))
+            known = {s for s, v in exact.items() if len(v) >= 5 and (len(v) >= 0.3 * n or any(v) and len(v) >= 8)}
+            for place, v in shape.items():
+                dull = sum(x[2] for x in v) >= 0.6 * len(v) or len({x[0] for x in v}) <= 0.25 * len(v)
+                if len(v) >= 5 and len(v) >= 0.3 * n and sum(x[1] for x in v) <= 0.3 * n and dull:
+                    known.add(place)
+            self.known[host] = known
+
+    @staticmethod
+    def tree(html):
+        from html.parser import HTMLParser
+
+        class P(HTMLParser):
+            def __init__(self):
+                super().__init__(convert_charrefs=False)
+                self.stack = [["", "", []]]
+
+            def handle_starttag(self, tag, attrs):
+                node = [tag, " ".join(w for k, v in attrs if k == "class" for w in v.split()), []]
+                self.stack[-1][2].append(node)
+                if tag not in html_extract.VOID:
+                    self.stack.append(node)
+
+            def handle_endtag(self, tag):
+                if tag in [x[0] for x in self.stack]:
+                    while self.stack.pop()[0] != tag:
+                        pass
+
+            def handle_data(self, data):
+                self.stack[-1][2].append(" ".join(data.split()))
+
+            handle_entityref = lambda self, name: self.handle_data(f"&{name};")
+
+        p = P()
+        p.feed(html)
+        return p.stack[0]
+
+    def size(self, t):
+        """Characters, and those in links."""
+        chars = links = 0
+        for c in t[2]:
+            if isinstance(c, str):
+                chars += len(c)
+            elif c[0] not in html_extract.GONE:
+                a, b = self.size(c)
+                chars, links = chars + a, links + b
+        if t[0] in html_extract.RAW:
+            chars = 0
+        return chars, chars if t[0] == "a" else links
+
+    def shape(self, t):
+        kids = [self.shape(c) for c in t[2] if not isinstance(c, str)]
+        return (t[0], t[1], tuple(k for i, k in enumerate(kids) if not i or k != kids[i - 1]))
+
+    def has_article(self, t):
+        return t[0] in ("article", "main") or any(self.has_article(c) for c in t[2] if not isinstance(c, str))
+
+    def candidate(self, t, inside):
+        return t[0] in html_extract.BLOCKS and t[0] not in ("html", "head", "body", "article", "main") and not (inside and t[0] in html_extract.TEXT)
+
+    def walk(self, t, inside, path, total, out):
+        inside, path = inside or t[0] in ("article", "main"), (*path, t[:2])
+        for c in t[2]:
+            if isinstance(c, str) or c[0] == "head":
+                continue
+            if self.candidate(c, inside) and c[2]:
+                apart = not inside and c[0] not in html_extract.TEXT and not self.has_article(c)
+                chars, links = self.size(c)
+                out[repr(c), repr((path, self.shape(c))) if apart else None] = (apart, min(chars / max(total, 1), 1), links / chars if chars else 0)
+            self.walk(c, inside, path, total, out)
+
+    def text(self, i):
+        import html
+
+        host, t = self.trees[i]
+        known, blocks, run = self.known[host], [], []
+
+        def flush():
+            if "".join(run).split():
+                blocks.append(" ".join(html.unescape("".join(run)).split()))
+            run.clear()
+
+        def read(t, inside, path):
+            inside, path = inside or t[0] in ("article", "main"), (*path, t[:2])
+            for c in t[2]:
+                if isinstance(c, str):
+                    run.append(c + " ")
+                elif c[0] not in html_extract.GONE and not (self.candidate(c, inside) and (repr(c) in known or repr((path, self.shape(c))) in known)):
+                    if c[0] in html_extract.BLOCKS:
+                        flush()
+                    read(c, inside, path)
+                    if c[0] in html_extract.BLOCKS:
+                        flush()
+
+        read(t, False, ())
+        flush()
+        return "\n".join(blocks)
+
+
+def site(rng, host, n):
+    """Pages of a site without any article or telling names: the text is found by what recurs only."""
+    menus = ["".join(f"<li><a>{w}</a></li>" for w in rng.sample("home news about team press shop help".split(), 4)) for _ in range(3)]
+    out = []
+    for i in range(n):
+        body = "".join(f"<p>Story {i} part {k} {rng.random()} with words of its own.</p>" for k in range(rng.randint(2, 5)))
+        out.append((host, f"<body><div class='top'><ul>{rng.choice(menus)}</ul></div><div class='x'>Buy {rng.choice(['one', 'two'])} now</div><div class='story'><h1>Title {i}</h1>{body}<p>Copied line.</p></div><div class='z'>All rights {host}</div></body>"))
+    return out
+
+
+def test_templates_decide_the_text(spark):
+    """Without tags, names or articles to go by: removal changes every page, leaves the story, and equals the plain version."""
+    rng = random.Random(8)
+    pages = site(rng, "a.example.com", 40) + site(rng, "b.example.com", 9) + site(rng, "c.example.com", 3)
+    rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df, named=False).collect()}
+    bare = {i: html_extract.main_text(html_extract.parse(html), set()) for i, _, html in rows}
+    plain = Plain(pages)
+    assert [got[i] for i in range(len(rows))] == [plain.text(i) for i in range(len(rows))]
+    for i, (host, _) in enumerate(pages):
+        lines = got[i].split("\n")
+        assert any(x.startswith("Story") for x in lines)
+        if host == "c.example.com":
+            assert got[i] == bare[i]
+        else:
+            assert got[i] != bare[i] and lines[0].startswith("Title") and not any(x.startswith(("Buy", "All rights")) or x in ("home", "news") for x in lines)
+    assert all("Copied line." in got[i] for i in range(len(rows)) if len(pages) and pages[i][0] == "c.example.com")
+
+
+def test_templates_on_the_given_pages(spark, sf_dir, monkeypatch):
+    """With nav and footer no longer known by their tags, and neither names nor the article rule, what recurs still takes the boilerplate away."""
+    from .test_brute import article_of
+
+    monkeypatch.setattr(html_extract, "GONE", html_extract.GONE - {"nav", "footer"})
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    rows = [r for r in spark.read.parquet(f"{folder}/pages.parquet").collect() if "blog.tionsh.example.com" in r["url"]]
+    tops = {r["page_id"]: html_extract.parse(r["html"]) for r in rows}
+    counts: dict = {}
+    for top in {t.digest: t for t in tops.values()}.values():
+        for digest, _, apart, _, _ in {x[0]: x for x in html_extract.subtrees(top)}.values():
+            counts.setdefault(digest, []).append(apart)
+    known = {d for d, v in counts.items() if any(v) and len(v) >= html_extract.MANY_PAGES}
+    assert len(known) > 5
+    text = lambda i, known: html_extract.main_text(tops[i], known, named=False, articles=False)
+    changed = sum(text(r["page_id"], known) != text(r["page_id"], set()) for r in rows)
+    assert changed > 0.2 * len(rows)
+    assert all(set(article_of(r["html"]).split("\n")) <= set(text(r["page_id"], known).split("\n")) for r in rows)
+
+
+def test_templates_by_join(spark, monkeypatch):
     pages = spark.createDataFrame([(i, f"http://h.example.com/{i}", f"<div>same bar</div><div>own {i}</div>") for i in range(9)], "page_id long, url string, html string")
     want = {(r["page_id"], r["text"]) for r in html_extract.extract(pages).collect()}
     monkeypatch.setattr(html_extract, "BROADCAST", -1)
@@ -304,6 +725,40 @@ def test_quality_gradients():
     assert ((p["p"] >= 0.5) == (y == 1)).all() and np.allclose(np.add.reduceat(p["share"], p["starts"]), 1)
 
 
+def test_quality_forward_is_its_formula():
+    """Bag by bag and number by number."""
+    import math
+
+    rng = np.random.default_rng(3)
+    texts = ["some words here " * 90, "", "other, Words! 12", "a b c " * 200]
+    x, counts = quality.describe(texts)
+    assert counts.tolist() == [3, 1, 1, 7] and x.shape == (12, quality.N_FEATURES)
+    model = quality.fit_bags(x, counts, np.array([1.0, 0.0, 1.0, 0.0]), epochs=5)
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    got = model.score(texts)
+    at = 0
+    for p, n in zip(got, counts):
+        bag = [(row - model.mean) / model.scale for row in x[at : at + n].astype(float)]
+        at += n
+        h = [[math.tanh(sum(f[i] * w["E"][i, j] for i in range(len(f))) + w["e"][j]) for j in range(quality.ENCODED)] for f in bag]
+        gate = lambda v, m, k: sum(v[j] * w[m][j, k] for j in range(quality.ENCODED))
+        logit = [sum(w["a"][k] * math.tanh(gate(v, "V", k)) / (1 + math.exp(-gate(v, "U", k))) for k in range(quality.ATTENTION)) for v in h]
+        weight = [math.exp(x) / sum(map(math.exp, logit)) for x in logit]
+        z = [sum(a * v[j] for a, v in zip(weight, h)) for j in range(quality.ENCODED)]
+        assert abs(p - 1 / (1 + math.exp(-sum(z[j] * w["c"][j] for j in range(quality.ENCODED)) - w["b"][0]))) < 1e-3
+    few, n = quality.describe(["w " * 10_000], 16)
+    assert n.tolist() == [16] and len(few) == 16
+
+
+def test_hashed_words_and_grams():
+    data = b"Ab ab cd" + b"ab"
+    of = np.array([0] * 8 + [1] * 2)
+    got = quality.hashed(np.frombuffer(data, dtype=np.uint8), of, 3) ** 2
+    words = got[:, : quality.WORD_BUCKETS]
+    assert sorted(words[0][words[0] > 0].round(3)) == [0.333, 0.667] and words[1].max() == 1 and words[1].argmax() == words[0].argmax() and got[2].sum() == 0
+    assert abs(got[0, quality.WORD_BUCKETS :].sum() - 1) < 1e-9 and got[1, quality.WORD_BUCKETS :].sum() == 0
+
+
 def test_quality_held_out_accuracy(spark, sf_dir):
     """On the small test tables, over rows that never train."""
     folder = sf_dir.replace("sf0.001", "sf0.01")
