@@ -75,8 +75,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS s, min(CAST(l_discount AS DECIMAL(4,2))) AS low FROM lineitem GROUP BY l_returnflag",
     ),
     "type_int128": (
-        "SELECT sum(CAST(o_orderkey AS DECIMAL(38,0)) * CAST(100000000000000000 AS DECIMAL(20,0))) AS s FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 100)",
-        "SELECT CAST(sum(CAST(o_orderkey AS HUGEINT) * 100000000000000000) AS DECIMAL(38,0)) AS s FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 100)",
+        "SELECT sum(CAST(o_orderkey AS DECIMAL(38,0)) * CAST(100000000000000000 AS DECIMAL(20,0))) AS s FROM orders",
+        "SELECT CAST(sum(CAST(o_orderkey AS HUGEINT) * 100000000000000000) AS DECIMAL(38,0)) AS s FROM orders",
     ),
     "type_enum": (
         "SELECT o_orderkey, o_orderstatus FROM orders WHERE array_position(array('P', 'O', 'F'), o_orderstatus) < 3",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 _SETS = "SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY "
-_SMALL = "(VALUES (1, 1, 1, 12), (2, 1, 0, 10), (3, 1, NULL, NULL), (4, 2, 1, 6), (5, 2, 1, 5), (6, 3, NULL, NULL)) AS t(id, g, flag, bits)"
+_SMALL = "(SELECT o_orderkey AS id, o_custkey % 1000 AS g, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 2 END AS flag, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS bits, o_orderpriority AS word FROM orders) AS t"
 
 QUERIES: dict[str, tuple[str, str | None]] = {
     "agg_count_star": ("SELECT count(*) AS n FROM lineitem", None),
@@ -28,8 +28,9 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         f"SELECT g, list(flag ORDER BY id) AS flags FROM {_SMALL} GROUP BY g",
     ),
     "agg_json": (
-        f"SELECT g, concat('[', array_join(transform(array_sort(collect_list(struct(id, bits))), e -> coalesce(CAST(e.bits AS STRING), 'null')), ','), ']') AS j FROM {_SMALL} GROUP BY g",
-        f"SELECT g, '[' || string_agg(coalesce(CAST(bits AS VARCHAR), 'null'), ',' ORDER BY id) || ']' AS j FROM {_SMALL} GROUP BY g",
+        "SELECT g, to_json(transform(array_sort(collect_list(struct(id, bits))), e -> e.bits), map('ignoreNullFields', 'false')) AS j, "
+        f"to_json(transform(array_sort(collect_list(struct(id, word || chr(34) || chr(92) AS w))), e -> e.w), map('ignoreNullFields', 'false')) AS words FROM {_SMALL} GROUP BY g",
+        f"SELECT g, CAST(to_json(list(bits ORDER BY id)) AS VARCHAR) AS j, CAST(to_json(list(word || chr(34) || chr(92) ORDER BY id)) AS VARCHAR) AS words FROM {_SMALL} GROUP BY g",
     ),
     "agg_string": (
         "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.store import ConstraintError, Store, StoreError
 from ..sources.tables import sql, table
 from ..streaming.feeds import Feed, retain
+from .numbering import numbered
 from .search import history, recall, remember
 from .stored import NATION, _nations, _rows
 
@@ -93,7 +94,8 @@ class Listener:
         self.told.pop(feed, None)
 
     def _last(self, feed: str) -> int:
-        return Feed(self.store, feed).fetch().agg(F.max("_seq")).first()[0] or 0
+        """The number of the last change of the feed's table, from the manifest alone."""
+        return self.store._meta(self.store.now["feeds"][feed]["table"]).get("last", 0)
 
     def poll(self) -> list[str]:
         now = {f: self._last(f) for f in self.told}
@@ -146,9 +148,9 @@ def cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _memory(spark: SparkSession, sf_dir: str) -> AgentTools:
     tools = AgentTools(Store(spark))
-    talk = table(spark, sf_dir, "conversations").filter("conv_id < 30 AND turn = 0")
-    tools.remember(talk.select(F.col("conv_id").alias("id"), F.col("role").alias("kind"), F.col("text").alias("content"), F.lit(None).cast("array<double>").alias("embedding")))
-    tools.remember(spark.createDataFrame([(1000, "note", "zebra stripes are black", None), (1001, "note", "a zebra eats grass, zebra", None)], "id long, kind string, content string, embedding array<double>"))
+    talk = numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id", "turn"], "id")
+    tools.remember(talk.select("id", F.col("role").alias("kind"), F.col("text").alias("content"), F.lit(None).cast("array<double>").alias("embedding")))
+    tools.remember(spark.createDataFrame([(-1, "note", "zebra stripes are black", None), (-2, "note", "a zebra eats grass, zebra", None)], "id long, kind string, content string, embedding array<double>"))
     return tools
 
 
@@ -263,7 +265,7 @@ def _outcomes(*rows: tuple[str, str]) -> str:
 
 
 _BROKEN = "constraint violated: "
-_OLD = "SELECT conv_id AS id, role AS kind FROM conversations WHERE conv_id < 30 AND turn = 0"
+_OLD = "SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, role AS kind FROM conversations"
 
 ORACLES = {
     "where_agg_error": _outcomes(("aggregate in WHERE", "not analysed"), ("in HAVING", "accepted")),
@@ -272,9 +274,9 @@ ORACLES = {
     "src_sqlwire": "SELECT n_name FROM nation WHERE n_regionkey = 1",
     "session_set": _outcomes(("capped", "estimated above 100 bytes"), ("not capped", "accepted")),
     "cancel": "SELECT range AS id FROM range(5)",
-    "memory_recall": "SELECT CAST(id AS BIGINT) AS id FROM (VALUES (1000), (1001)) AS v(id)",
+    "memory_recall": "SELECT CAST(id AS BIGINT) AS id FROM (VALUES (-1), (-2)) AS v(id)",
     "memory_history": f"SELECT id FROM ({_OLD})",
-    "src_mcp": f"SELECT kind, count(*) AS n FROM ({_OLD} UNION ALL SELECT 1000, 'note' UNION ALL SELECT 1001, 'note') GROUP BY kind",
+    "src_mcp": f"SELECT kind, count(*) AS n FROM ({_OLD} UNION ALL SELECT -1, 'note' UNION ALL SELECT -2, 'note') GROUP BY kind",
     "ddl_create": _outcomes(("again", "nation exists"), ("if not exists", "accepted"), ("without a key", "a primary key is needed"), ("new", "accepted")),
     "ddl_drop": _outcomes(("there", "accepted"), ("gone", "no table nation"), ("if exists", "accepted")),
     "con_pk": _outcomes(("known", _BROKEN + "primary key"), ("twice", _BROKEN + "primary key"), ("null", _BROKEN + "not null: n_nationkey"), ("new", "accepted")),

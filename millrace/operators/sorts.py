@@ -25,7 +25,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "union_all": (f"{_C} UNION ALL {_S}", None),
     "union": (f"{_C} UNION {_S}", None),
     "intersect": (f"{_C} INTERSECT {_S}", None),
-    "except": (f"SELECT n_nationkey AS k FROM nation EXCEPT {_S} WHERE s_suppkey < 20", None),
+    "except": ("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", None),
     "intersect_all": (f"SELECT k FROM {_BAG} INTERSECT ALL SELECT k FROM {_BAG2}", None),
     "except_all": (f"SELECT k FROM {_BAG} EXCEPT ALL SELECT k FROM {_BAG2}", None),
 }

@@ -86,7 +86,7 @@ def sink_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, s) for i, s in enumerate(_nations(spark, sf_dir).dump("nation"))], "line int, statement string")
+    return _nations(spark, sf_dir).dump("nation")
 
 
 def sink_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,21 +250,21 @@ def topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark)
     t = Topic(store, "ev", create=True)
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("payload"))
-    t.publish(talk.filter("conv_id < 20"), ["conv_id", "turn"])
+    t.publish(talk, ["conv_id", "turn"])
     store.begin()
     t.publish(talk, ["conv_id", "turn"])
     store.rollback()
-    t.publish(talk.filter("conv_id = 20"), ["conv_id", "turn"])
+    t.publish(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("payload")), ["n_nationkey"])
     return t.consume(3)
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark)
     q = Queue(store, "jobs", create=True)
-    q.send(table(spark, sf_dir, "nation").select(F.col("n_name").alias("payload")).filter("n_nationkey < 5"))
+    q.send(table(spark, sf_dir, "nation").select(F.col("n_name").alias("payload")))
     first = [r["mid"] for r in q.receive(2, 1).collect()]
     q.ack(first[:1])
-    return q.receive(10, 5)
+    return q.receive(100, 5)
 
 
 VIEW = "SELECT o_orderstatus AS status, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders WHERE o_orderkey % 10 <> 3 AND o_orderkey >= 50 GROUP BY o_orderstatus"
@@ -330,8 +330,8 @@ ORACLES = {
     "sink_truncate": "SELECT CAST(0 AS BIGINT) AS n",
     "sink_ctas": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
     "sink_like": "SELECT 1 AS n_nationkey, 'ONE' AS n_name, 1 AS n_regionkey",
-    "sink_dump": "SELECT CAST(0 AS INT) AS line, 'CREATE TABLE nation (n_nationkey INT, n_name STRING, n_regionkey INT, PRIMARY KEY (n_nationkey))' AS statement UNION ALL "
-    "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INT), 'INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (' || n_nationkey || ', ''' || n_name || ''', ' || n_regionkey || ')' FROM nation",
+    "sink_dump": "SELECT CAST(0 AS BIGINT) AS line, 'CREATE TABLE nation (n_nationkey INT, n_name STRING, n_regionkey INT, PRIMARY KEY (n_nationkey))' AS statement UNION ALL "
+    "SELECT row_number() OVER (ORDER BY n_nationkey), 'INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (' || n_nationkey || ', ''' || n_name || ''', ' || n_regionkey || ')' FROM nation",
     "sink_backup": _N,
     "sink_branch": f"{_N} WHERE n_nationkey >= 20",
     "scan_asof": "SELECT n_nationkey, CASE WHEN n_nationkey < 10 THEN 'LATER' ELSE n_name END AS n_name, n_regionkey FROM nation",
@@ -348,8 +348,8 @@ ORACLES = {
     "cdc_changes": f"SELECT CAST(_seq AS BIGINT) AS _seq, _op, n_nationkey, n_name, n_regionkey FROM ({_CHANGES})",
     "cdc_replay": "SELECT n_nationkey, CASE WHEN n_nationkey IN (2, 3) THEN 'CHANGED' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT 4, 'AGAIN', 1 UNION ALL SELECT 60, 'MORE', 2",
     "cdc_feed": f"SELECT CAST(_seq AS BIGINT) AS _seq, _op, n_nationkey FROM ({_CHANGES}) WHERE _seq IN (27, 28)",
-    "topic": "SELECT \"offset\", payload FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) AS \"offset\", text AS payload FROM conversations WHERE conv_id <= 20) WHERE \"offset\" > 3",
-    "queue": "SELECT mid, payload FROM (SELECT row_number() OVER (ORDER BY n_name) AS mid, n_name AS payload FROM nation WHERE n_nationkey < 5) WHERE mid >= 2",
+    "topic": "SELECT \"offset\", payload FROM (SELECT row_number() OVER (ORDER BY batch, k, turn) AS \"offset\", payload FROM (SELECT 1 AS batch, conv_id AS k, turn, text AS payload FROM conversations UNION ALL SELECT 2, n_nationkey, 0, n_name FROM nation)) WHERE \"offset\" > 3",
+    "queue": "SELECT mid, payload FROM (SELECT row_number() OVER (ORDER BY n_name) AS mid, n_name AS payload FROM nation) WHERE mid >= 2",
     "ivm": VIEW,
     "ivm_live": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'DELETE' ELSE 'PUT' END AS _op, o_orderstatus AS status, CASE WHEN o_orderstatus <> 'F' THEN count(*) FILTER (WHERE o_orderkey >= 10) END AS n "
     "FROM orders WHERE o_orderstatus IN (SELECT o_orderstatus FROM orders WHERE o_orderkey < 10 OR o_orderstatus = 'F') GROUP BY o_orderstatus",

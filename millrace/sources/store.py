@@ -2,7 +2,7 @@
 
 A store is a folder. Every commit adds one manifest (a small JSON file, created exclusively, so
 that two writers cannot both publish the same version) that lists, for each table, the immutable Parquet parts that make it up. An
-insert adds a part; an update or delete rewrites only the parts that hold an affected row. `as_of(n)` reads manifest n, a
+insert adds a part; an update or delete rewrites only the parts that hold an affected row, as one. `as_of(n)` reads manifest n, a
 branch is a manifest in another folder that shares the parts. Versions count write statements.
 
 Each statement also appends its changes to the table's log: (_seq, _op, columns), _op PUT with the whole row or DELETE with
@@ -150,7 +150,7 @@ class Store:
             raise StoreError("a primary key is needed")
         new["tables"][name] = {
             "schema": schema.jsonValue(), "key": key, "not_null": list(not_null), "unique": list(unique), "checks": checks or {}, "defaults": defaults or {},
-            "foreign": {c: list(t) for c, t in (foreign or {}).items()}, "serial": serial, "next": 1, "parts": [], "log": [],
+            "foreign": {c: list(t) for c, t in (foreign or {}).items()}, "serial": serial, "next": 1, "parts": [], "log": [], "last": 0,
         }
         self._publish(new)
 
@@ -266,6 +266,7 @@ class Store:
         path = self._write(numbered(changes, [*meta["key"], "_op"], "_seq", new["seq"] + 1), f"{name}_log")
         meta["log"].append(path)
         new["seq"] += self.spark.read.parquet(path).count()
+        meta["last"] = new["seq"]
 
     def _complete(self, meta: dict, rows: DataFrame) -> DataFrame:
         schema = self._schema(meta)
@@ -309,15 +310,15 @@ class Store:
 
     def _replace(self, meta: dict, name: str, keys: DataFrame, part: str | None) -> None:
         """Takes the rows of `keys` out of the parts that hold them, and adds a part."""
-        kept = []
-        for p in meta["parts"]:
-            df = self.spark.read.schema(self._schema(meta)).parquet(p)
-            if df.join(keys, meta["key"], "left_semi").take(1):
-                rest = df.join(keys, meta["key"], "left_anti")
-                kept.append(self._write(rest, name))
-            else:
-                kept.append(p)
-        meta["parts"] = kept + ([part] if part else [])
+        if meta["parts"]:
+            folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("_part")
+            held = self._read(meta).select(*meta["key"], folder).join(keys, meta["key"], "left_semi").select("_part").distinct()
+            hit = {r["_part"] for r in held.collect()}  # as many names as parts at most
+            old = [p for p in meta["parts"] if p.rsplit("/", 1)[1] in hit]
+            meta["parts"] = [p for p in meta["parts"] if p not in old]
+            if old:  # rewritten as one part, so that parts do not only grow
+                meta["parts"].append(self._write(self._read({**meta, "parts": old}).join(keys, meta["key"], "left_anti"), name))
+        meta["parts"] += [part] if part else []
 
     def update(self, name: str, values: dict[str, str], where: str) -> int:
         """Sets columns to SQL expressions on the rows of `where`; the number of rows."""
@@ -392,17 +393,23 @@ class Store:
         state = json.loads(Files(self.spark, folder).read("backup.json"))
         return Store(self.spark, "", state)
 
-    def dump(self, name: str) -> list[str]:
-        """SQL text that makes a table again: for small tables, as its rows come to the driver."""
+    def dump(self, name: str) -> DataFrame:
+        """(line, statement): SQL text that makes a table again, made where the rows are; line 0 creates the table. Write it with df.write.text."""
         meta = self._meta(name)
         schema = self._schema(meta)
-        literal = lambda v: "NULL" if v is None else f"'{v}'".replace("\\", "\\\\") if not isinstance(v, (int, float)) else repr(v)
         if any(isinstance(f.dataType, (T.ArrayType, T.BinaryType, T.MapType, T.StructType)) for f in schema):
             raise StoreError("a type that SQL text does not carry")
-        quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else literal(v)
         columns = ", ".join(f"{f.name} {f.dataType.simpleString().upper()}" for f in schema)
-        rows = self._read(meta).orderBy(*meta["key"]).collect()
-        return [f"CREATE TABLE {name} ({columns}, PRIMARY KEY ({', '.join(meta['key'])}))", *(f"INSERT INTO {name} ({', '.join(schema.names)}) VALUES ({', '.join(map(quote, r))})" for r in rows)]
+        head = f"CREATE TABLE {name} ({columns}, PRIMARY KEY ({', '.join(meta['key'])}))"
+
+        def literal(f: T.StructField):
+            text = F.col(f.name).cast("string")
+            quoted = text if isinstance(f.dataType, T.NumericType) else F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+            return F.coalesce(quoted, F.lit("NULL"))
+
+        rows = numbered(self._read(meta), meta["key"], "_line")
+        values = F.concat(F.lit(f"INSERT INTO {name} ({', '.join(schema.names)}) VALUES ("), F.concat_ws(", ", *[literal(f) for f in schema]), F.lit(")"))
+        return self.spark.createDataFrame([(0, head)], "line long, statement string").unionByName(rows.select(F.col("_line").alias("line"), values.alias("statement")))
 
     # -- introspection
 
