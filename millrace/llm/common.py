@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import new_path, shared_dir, ship
 from ..sources.tables import table
 
-__all__ = ["free", "map_arrow", "new_path", "shared_dir", "slices", "table", "without", "written"]
+__all__ = ["free", "give_back", "map_arrow", "new_path", "shared_dir", "slices", "table", "without", "written"]
 
 #: Numbers that `without` broadcasts at most.
 GONE = 500_000
@@ -41,9 +42,24 @@ def free(df: DataFrame, name: str) -> str:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow with the package's code at hand on every executor."""
+    """df.mapInArrow with the package's code at hand on every executor; a task that ends gives its memory back."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Workers are reused, and an idle one shares its executor's memory with the stages that follow."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
 
 
 def slices(batch, column: int, most_bytes: int = 4 << 20):

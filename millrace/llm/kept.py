@@ -10,6 +10,9 @@ import pyarrow as pa
 #: Of distinct words: their ids end to end, and how many ids each word has.
 Learn = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
+#: New words learned at a time, as Python strings take several times their bytes.
+STEP = 50_000
+
 
 class Kept:
     """Words met so far as one Arrow array, with their ids in flat arrays beside it.
@@ -33,8 +36,8 @@ class Kept:
         coded = pa.concat_arrays([self.words, here.dictionary]).dictionary_encode()
         every, at = coded.dictionary, coded.indices.to_numpy()[len(self.words) :][here.indices.to_numpy()]
         if len(every) > len(self.words):
-            ids, sizes = self.learn(every.slice(len(self.words)).to_pylist())
-            self._set(np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes.astype(np.int32)]))
+            learned = [self.learn(every.slice(a, STEP).to_pylist()) for a in range(len(self.words), len(every), STEP)]
+            self._set(np.concatenate([self.flat, *[ids for ids, _ in learned]]), np.concatenate([self.sizes, *[sizes.astype(np.int32) for _, sizes in learned]]))
             self.words = every
         out = self._gathered(at)
         if len(self.words) > self.most:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_arrow, slices, table, written
+from .common import give_back, map_arrow, slices, table, written
 from .kept import Kept, segments, slice_ids
 
 LENGTH = 4096
@@ -41,7 +41,7 @@ MERGED = 64
 WORDS = 600_000
 
 #: Bytes of text tokenised at a time: the more, the fewer lookups of words that repeat.
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, open
                 if packer.done:
                     yield emit(packer.done, False)
                     packer.done = []
-                pa.default_memory_pool().release_unused()
+                give_back()
         yield emit(packer.open, True)
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -34,6 +34,8 @@ FIT_PASSAGES = 16
 #: Buckets of words and of runs of three bytes.
 WORD_BUCKETS, GRAM_BUCKETS = 64, 64
 ENCODED, ATTENTION = 16, 8
+#: Bytes of text described at a time: arrays of eight bytes for each byte of text stand side by side.
+SLICE = 1 << 20
 EPOCHS = 150
 RIDGE = 1e-3
 SEED = 7
@@ -206,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, target: str = "q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE):
                 x, counts = describe([t or "" for t in part.column(2).to_pylist()], FIT_PASSAGES)
                 bags = [b.tobytes() for b in np.split(x, np.cumsum(counts)[:-1])]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
@@ -227,7 +229,7 @@ def scored(docs: DataFrame, model: BagModel, name: str = "_score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, SLICE):
                 p = model.score([t or "" for t in part.column(at).to_pylist()])
                 yield pa.record_batch([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, name])
 
