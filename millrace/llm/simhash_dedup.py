@@ -31,7 +31,7 @@ has none; repeated rows repeat; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -50,6 +50,8 @@ WORDS, LIMIT, DIFFER = 4, 54, 0.155
 #: A cell of up to SMALL wide fingerprints gives all its pairs, a larger one NEAREST for each and a forest.
 SMALL, NEAREST = 32, 3
 SIMILARITY = 0.8
+#: Buckets of a shingle set's profile: sets of up to some thousand shingles that have nothing to do with each other are told apart by it.
+PROFILE = 128
 #: Fingerprints that a task remembers as joined, to leave out links that join nothing new.
 SEEN = 1_000_000
 
@@ -401,28 +403,55 @@ def similar_groups(docs: DataFrame, row: str, words_in_shingle: int = 5, least:
 
 
 def verified(docs: DataFrame, row: str, pairs: DataFrame, words_in_shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of rows whose shingle sets (as 32-bit hashes) have a Jaccard similarity of `least` or more."""
+    """The pairs (a, b) of rows whose shingle sets (as 32-bit hashes) have a Jaccard similarity of `least` or more.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two sets share at most the sum over buckets of the lesser count, so profiles, a fraction of the sets in size, rule out most pairs
+    and lose none; sets are made and moved only for the rows of the pairs that are left.
+    """
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (np.unique(shingle_hashes(x.as_py() or b"", words_in_shingle).astype("<u4")) for x in batch.column(1))
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(x.as_py() or b"", words_in_shingle).astype("<u4")).tobytes() for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+            counts = [np.bincount((h % PROFILE).astype(np.int64), minlength=PROFILE) for h in hashes(batch)]
+            found = [c.astype("<u2").tobytes() if c.max() < 1 << 16 else b"" for c in counts]  # empty: rules nothing out
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["node", "data"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), dtype="<u4"), np.frombuffer(y.as_py(), dtype="<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= least * (len(x) + len(y) - both))
-            yield pa.record_batch([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    texts = docs.select(F.col(row).alias("a"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).join(named, "a", "left_semi")
-    known = written(map_arrow(texts, sets, "node long, shingles binary"), "shingle_sets")
-    one = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = one.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long")
+            yield pa.record_batch([batch.column(0), pa.array([h.tobytes() for h in hashes(batch)], pa.binary())], names=["node", "data"])
+
+    def possible(x: bytes, y: bytes) -> bool:
+        if not x or not y:
+            return True
+        x, y = np.frombuffer(x, dtype="<u2"), np.frombuffer(y, dtype="<u2")
+        both = int(np.minimum(x, y).sum(dtype=np.int64))
+        return both >= least * (int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64)) - both)
+
+    def similar(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= least * (len(x) + len(y) - both)
+
+    def only(test: Callable):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = [test(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
+                yield pa.record_batch([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+        return run
+
+    def held(pairs: DataFrame, make: Callable, test: Callable, what: str) -> DataFrame:
+        named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+        texts = docs.select(F.col(row).alias("a"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).join(named, "a", "left_semi")
+        known = written(map_arrow(texts, make, "node long, data binary"), what)
+        one = pairs.join(known.select(F.col("node").alias("a"), F.col("data").alias("x")), "a")
+        both = one.join(known.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+        return map_arrow(both.select("a", "b", "x", "y"), only(test), "a long, b long")
+
+    left = written(held(pairs, profiles, possible, "profiles"), "possible")
+    return held(left, sets, similar, "shingle_sets")
 
 
 def _named(firsts: DataFrame, found: DataFrame, words: list[str]) -> DataFrame:

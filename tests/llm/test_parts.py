@@ -791,3 +791,26 @@ def test_names_still_mark(attributes):
 def test_attributes_take_linear_time():
     top = html_extract.parse("<p" + " " * 300_000 + "x" + " =" * 100_000 + ">Body</p>")
     assert html_extract.main_text(top, set()) == "Body"
+
+
+def test_profiles_rule_out_no_similar_pair(spark):
+    import random
+
+    from millrace.llm.simhash_dedup import verified
+
+    rng = random.Random(3)
+    words = [[f"w{rng.randrange(9999)}" for _ in range(n)] for n in (0, 3, 40, 300, 300, 2000)]
+    texts = [" ".join(w) for w in words] + [None]
+    for w in words[2:]:
+        for changed in (1, len(w) // 60, len(w) // 40, len(w) // 20, len(w) // 5):
+            copy = list(w)
+            for at in rng.sample(range(len(w)), changed):
+                copy[at] = "x"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    want = {(a, b) for a, b in pairs if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    got = verified(docs, "row", spark.createDataFrame(pairs, "a long, b long"), 5, 0.8)
+    assert {tuple(r) for r in got.collect()} == want
+    assert 10 <= len(want) < len(pairs) / 2
