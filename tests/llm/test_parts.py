@@ -793,7 +793,7 @@ def test_attributes_take_linear_time():
     assert html_extract.main_text(top, set()) == "Body"
 
 
-def test_profiles_rule_out_no_similar_pair(spark):
+def test_verified_pairs_equal_brute_force(spark):
     import random
 
     from millrace.llm.simhash_dedup import verified
