@@ -814,3 +814,33 @@ def test_verified_pairs_equal_brute_force(spark):
     got = verified(docs, "row", spark.createDataFrame(pairs, "a long, b long"), 5, 0.8)
     assert {tuple(r) for r in got.collect()} == want
     assert 10 <= len(want) < len(pairs) / 2
+
+
+@pytest.mark.parametrize("small, cell", [(None, None), (4, 8)])
+def test_similar_texts_lose_no_link(spark, monkeypatch, small, cell):
+    """Against all pairs, with many pairs near the limit and with a passage that many texts share; with small limits by way of large cells and blocks."""
+    if small:
+        monkeypatch.setattr(simhash_dedup, "SMALL", small)
+        monkeypatch.setattr(simhash_dedup, "CELL", cell)
+        monkeypatch.setattr(simhash_dedup, "TOGETHER", 400)
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = some(45), []
+    for i in range(100):
+        for words, at in ((some(100), (30, 60)), (passage + some(12), (56,)), (passage + some(9), (46,))):
+            copy = list(words)
+            for k in at:
+                copy[k] = f"x{i}"
+            texts += [" ".join(words), " ".join(copy)]
+    sets = [shingles(t) for t in texts]
+    forest = simhash_dedup.Forest()
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                forest.join(a, b)
+    want = {(i, forest.root(i)) for i in range(len(texts))}
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    got = simhash_dedup.similar_groups(docs, "row")
+    assert {(r["row"], r["component_id"]) for r in got.collect()} == want
+    assert 200 < len({c for _, c in want}) < len(texts) - 200
