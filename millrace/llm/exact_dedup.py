@@ -166,7 +166,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATC
     With an index that holds earlier rows, texts that it has from a smaller doc_id are dropped.
     """
     row, name = free(docs, "row"), free(docs, "digest")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(name, digest(F.col("text"))), "dedup_rows")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(name, digest(F.col("text"))), "dedup_rows", "zstd")
     thin = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("digest"))
     own = index is None
     index = index or DigestIndex(docs.sparkSession)

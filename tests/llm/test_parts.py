@@ -844,3 +844,24 @@ def test_similar_texts_lose_no_link(spark, monkeypatch, small, cell):
     got = simhash_dedup.similar_groups(docs, "row")
     assert {(r["row"], r["component_id"]) for r in got.collect()} == want
     assert 200 < len({c for _, c in want}) < len(texts) - 200
+
+
+def test_numbered_texts_take_less_disk_than_their_input(spark, sf_dir, tmp_path, monkeypatch):
+    """Both dedup stages write the texts once more, so this is a large part of the disk that the pipeline holds."""
+    import os
+    from urllib.parse import urlparse
+
+    size = lambda df: sum(os.path.getsize(urlparse(f).path) for f in df.inputFiles())
+    spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1).write.option("compression", "snappy").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for module, stage in ((exact_dedup, exact_dedup.dedup), (simhash_dedup, simhash_dedup.near_dedup)):
+        sizes, plain = {}, module.written
+
+        def seen(df, what, *codec):
+            out = plain(df, what, *codec)
+            sizes[what] = size(out)
+            return out
+
+        monkeypatch.setattr(module, "written", seen)
+        stage(docs)
+        assert [n for what, n in sizes.items() if what.endswith("_rows")][0] < 0.8 * size(docs), sizes
