@@ -46,7 +46,7 @@ SEED = 42
 CELL = 8192
 #: Sets in a cell of a shingle whose pairs all become candidates at once; in a larger cell those that NEAREST and a forest do not join follow.
 SMALL, NEAREST = 128, 3
-#: Texts whose shingles are counted, shingles of one text that are, and shingles kept as frequent: they set the order of the shingles alone, never what is found.
+#: Texts whose shingles are counted (less than twice as many), shingles of one text that are, and shingles kept as frequent: they set the order of the shingles alone, never what is found.
 SAMPLE, SAMPLE_SHINGLES, FREQUENT = 4000, 10_000, 100_000
 #: Words of 64 bits in which a text notes the parity of its shingles for large cells, and bits in which a row is looked up before its text or parity is read.
 WORDS, LOOKUP = 4, 1 << 23
