@@ -822,7 +822,7 @@ def test_similar_texts_lose_no_link(spark, monkeypatch, small, cell):
     if small:
         monkeypatch.setattr(simhash_dedup, "SMALL", small)
         monkeypatch.setattr(simhash_dedup, "CELL", cell)
-        monkeypatch.setattr(simhash_dedup, "TOGETHER", 400)
+        monkeypatch.setattr(simhash_dedup, "TOGETHER", 150)
     rng = random.Random(11)
     some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     passage, texts = some(45), []
